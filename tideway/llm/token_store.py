@@ -95,7 +95,7 @@ class BlockWriter:
         self.uri = f"{folder}/{magic[2:6].decode().lower()}-{uuid.uuid4().hex}"
         fs, path = opened(self.uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out = fs.open_output_stream(path)
+        self.out = fs.open_output_stream(path, compression=None)
         self.out.write(magic)
         self.compress = zstandard.ZstdCompressor(level=1).compress
         self.block, self.room, self.size, self.entries = [], BLOCK_BYTES, 0, 0
@@ -125,7 +125,7 @@ def blocks(uri: str, magic: bytes) -> Iterator[bytes]:
     import zstandard
 
     fs, path = opened(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         if f.read(len(magic)) != magic:
             raise ValueError(f"{uri}: not a {magic!r} file")
         expand = zstandard.ZstdDecompressor().decompress
