@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,31 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
+MODULES = (
+    "operators.filters",
+    "operators.joins",
+    "operators.aggregates",
+    "operators.ordering",
+    "operators.graph",
+    "functions.scalars",
+    "plans.scoring",
+    "plans.audit",
+    "streaming.ais",
+    "operators.native",
+)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    for name in MODULES:
+        importlib.import_module(f"tideway.{name}")
+
+
 def queries() -> dict[str, Query]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_SQL)

@@ -1,0 +1,134 @@
+"""Operators that SQL text can't state in one query: components, clusters, closure, text repair, geometry."""
+
+from __future__ import annotations
+
+import html
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tideway import catalog
+from tideway.sources.tables import expanded, query, read
+
+
+def renormalised_mean(rows: DataFrame, key: str, score: str = "score", weight: str = "weight") -> DataFrame:
+    """Weighted mean over the factors that exist, with the share of the weight that they carry; NULL if there are none."""
+    there = F.when(F.col(score).isNotNull(), F.col(weight))
+    return rows.groupBy(key).agg((F.sum(F.col(score) * F.col(weight)) / F.sum(there)).alias("score"), (F.coalesce(F.sum(there), F.lit(0.0)) / F.sum(weight)).alias("completeness"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): smallest label reachable.  Labels spread along edges and jump to their label's label, so
+    rounds grow with the logarithm of the diameter; each round is checkpointed to keep lineage short."""
+    spark = edges.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")).checkpoint()
+    while True:
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        spread = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("label"))
+        jump = spread.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        new = spread.join(jump, "label").select("node", F.least("label", "far").alias("label")).checkpoint()
+        changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
+        labels = new
+        if not changed:
+            return labels.withColumnRenamed("label", "component")
+
+
+def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = query("SELECT DISTINCT from_id AS a, to_id AS b FROM segments")(spark, sf_dir)
+    return components(edges).groupBy("component").agg(F.count("*").alias("size"))
+
+
+REACH = """WITH RECURSIVE pairs AS (SELECT DISTINCT from_id AS a, to_id AS b FROM segments UNION SELECT DISTINCT to_id, from_id FROM segments), reach AS (SELECT a, a AS b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT component, CAST(count(*) AS BIGINT) AS size FROM (SELECT a, min(b) AS component FROM reach GROUP BY a) x GROUP BY component"""
+
+
+def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with the same title within 48 hours, or the same body, joined into clusters; a cluster's id is its
+    smallest article."""
+    rows = query("SELECT article_id, lower(title) AS title, sha256(body) AS body_hash, minute FROM articles")(spark, sf_dir)
+    # The neighbour in order is enough: links are transitive inside a cluster, so no group is joined to itself.
+    by = lambda key: F.lag("article_id").over(Window.partitionBy(key).orderBy("minute", "article_id"))
+    before = lambda key: F.lag("minute").over(Window.partitionBy(key).orderBy("minute", "article_id"))
+    titles = rows.select(F.col("article_id").alias("a"), by("title").alias("b"), (F.col("minute") - before("title")).alias("gap")).filter("b is not null and gap <= 2880").select("a", "b")
+    bodies = rows.select(F.col("article_id").alias("a"), by("body_hash").alias("b")).filter("b is not null")
+    found = components(titles.union(bodies))
+    return rows.join(found, rows.article_id == found.node, "left").select("article_id", F.coalesce("component", "article_id").alias("cluster_id"))
+
+
+def blocked_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates (locations over 4) that a protected location reaches through other candidates."""
+    edges = query("SELECT DISTINCT from_id AS a, to_id AS b FROM segments WHERE mode = 'sea'")(spark, sf_dir)
+    found = edges.filter("a = 1 and b > 4").select(F.col("b").alias("node")).distinct()
+    n = -1
+    while (now := found.count()) != n:
+        n = now
+        step = edges.filter("b > 4").join(found, edges.a == found.node).select(F.col("b").alias("node"))
+        found = found.union(step).distinct().checkpoint()
+    return found
+
+
+CLOSURE = """WITH RECURSIVE e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM segments WHERE mode = 'sea'), r AS (SELECT b AS node FROM e WHERE a = 1 AND b > 4 UNION SELECT e.b FROM r JOIN e ON r.node = e.a WHERE e.b > 4) SELECT DISTINCT node FROM r"""
+
+
+def clean_text(texts: pd.Series) -> pd.Series:
+    """HTML entities resolved, byte order marks dropped, Latin-1 mojibake repaired if that lowers its marks, NFKC, blanks
+    collapsed; null stays null."""
+
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        t = html.unescape(t).replace("﻿", "")
+        if any(m in t for m in ("Ã", "Â", "â€")):
+            try:
+                fixed = t.encode("latin-1").decode("utf-8")
+                t = fixed if sum(map(fixed.count, ("Ã", "Â"))) < sum(map(t.count, ("Ã", "Â"))) else t
+            except UnicodeError:
+                pass
+        return " ".join(unicodedata.normalize("NFKC", t).split())
+
+    return texts.map(one)
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.pandas_udf(clean_text, "string")(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("title"))
+
+
+def clipped_km(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Share of each straight line (in lat, lng) inside its box, by clipping against the four edges in turn."""
+    lo, hi = pd.Series(0.0, pdf.index), pd.Series(1.0, pdf.index)
+    for a, b, low, high in (("lat1", "lat2", "south", "north"), ("lng1", "lng2", "west", "east")):
+        d = pdf[b] - pdf[a]
+        inside = (pdf[a] >= pdf[low]) & (pdf[a] <= pdf[high])
+        t1, t2 = (pdf[low] - pdf[a]) / d.where(d != 0), (pdf[high] - pdf[a]) / d.where(d != 0)
+        enter, leave = pd.concat([t1, t2], axis=1).min(axis=1), pd.concat([t1, t2], axis=1).max(axis=1)
+        lo = pd.concat([lo, enter.fillna(0.0)], axis=1).max(axis=1)
+        hi = pd.concat([hi, leave.where(d != 0, inside.map({True: 1.0, False: -1.0}))], axis=1).min(axis=1)
+    return pdf.assign(ratio=(hi - lo).clip(lower=0.0).round(6))[["segment_id", "target_id", "ratio"]]
+
+
+def spatial_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and target boxes that they cross, with the share inside."""
+    rows = query(
+        "SELECT s.segment_id, t.target_id, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2, south, west, north, east FROM segments s JOIN locations a ON s.from_id = a.location_id JOIN locations b ON s.to_id = b.location_id "
+        "JOIN targets t ON least(a.lat, b.lat) <= north AND greatest(a.lat, b.lat) >= south AND least(a.lng, b.lng) <= east AND greatest(a.lng, b.lng) >= west"
+    )(spark, sf_dir)
+
+    def clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from map(clipped_km, batches)
+
+    return rows.mapInPandas(clip, "segment_id string, target_id string, ratio double").filter("ratio > 0")
+
+
+catalog.register("component_sizes", component_sizes, expanded(REACH))
+catalog.register("event_clusters", event_clusters)
+catalog.register("blocked_closure", blocked_closure, expanded(CLOSURE))
+catalog.register("clean_text", cleaned)
+catalog.register("spatial_exposure", spatial_exposure)
