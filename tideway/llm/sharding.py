@@ -59,7 +59,7 @@ def shard_by_ring(docs: DataFrame, shards: int = 16, slack: float = 0.0, virtual
     cell = F.shiftrightunsigned(F.xxhash64(F.col("id")), 48).cast("int")
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
 
-    nodes = spark.range(shards * virtual).select((F.col("id") % shards).cast("int").alias("shard"), F.shiftrightunsigned(F.xxhash64(F.lit("virtual node"), F.col("id")), 48).cast("int").alias("at"))
+    nodes = spark.range(shards * virtual).select(F.floor(F.col("id") / virtual).cast("int").alias("shard"), F.shiftrightunsigned(F.xxhash64(F.lit("virtual node"), F.floor(F.col("id") / virtual), F.col("id") % virtual), 48).cast("int").alias("at"))
     nodes = nodes.groupBy("at").agg(F.min("shard").alias("shard"))  # two nodes on one edge: the lower shard holds it
     w = Window.orderBy("at")
     nodes = nodes.select("at", "shard", F.lag("at").over(w).alias("before"))
