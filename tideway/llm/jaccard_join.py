@@ -30,11 +30,13 @@ SHINGLE = 5
 #: A shingle counts as heavy from so many documents on (counted in tasks that saw it in LOCAL documents at least);
 #: at most HEAVY_LIST of them, the heaviest, are put last in the order.  12 bytes each are broadcast.
 HEAVY, LOCAL, HEAVY_LIST = 12, 3, 1 << 20
-#: Prefix shingles in one bucket of the meeting step, on average, and members compared with one partner in one task.
-BUCKET, MEMBERS = 1_500_000, 400
+#: Prefix shingles in one bucket of the meeting step, on average, and texts in one block of a comparison.
+BUCKET, MEMBERS = 1_500_000, 128
 BROADCAST_ROWS = 400_000
 #: Turns in which open texts are compared with pivots only, before all pairs that are left.
-TURNS = 4
+TURNS = 3
+#: Texts that meet in one shingle are dealt to blocks of about so many.
+PLACE = 1024
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -192,27 +194,34 @@ def mixed_bucket(x: np.ndarray) -> np.ndarray:
 
 
 def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose whole texts are alike.  Each a goes to its partner b, at most MEMBERS to a task;
-    b's text is sent along once for each such part.  ``pairs`` is a written table."""
+    """The pairs (a, b) of ids whose whole texts are alike.  ``pairs``, a written table, has a meeting place t for each.
+
+    Texts of one place are dealt to blocks of about MEMBERS, and the pairs of two blocks are compared in one task, so a
+    text is sent once for each block that it has partners in, not for each partner.
+    """
     n = pairs.count()
-    parts = pairs.groupBy("b").agg(F.count("*").alias("m")).select("b", F.ceil(F.col("m") / MEMBERS).cast("int").alias("parts"))
-    members = pairs.join(parts, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_b"))
-    partners = parts.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_b"))
-    bodies = joined_small(rows, members.union(partners), "id", "inner", 2 * n, BROADCAST_ROWS)
-
-    def compare(t: pa.Table) -> pa.Table:
-        ids, bodies, is_b = t["id"].to_pylist(), t["body"].to_pylist(), t["is_b"].to_pylist()
-        sets = shingle_sets([x.lower() for x in bodies], SHINGLE)
-        heads = [(i, s) for i, s, h in zip(ids, sets, is_b, strict=True) if h]
-        found = {(i, h) for i, s, is_head in zip(ids, sets, is_b, strict=True) if not is_head for h, hs in heads if alike(s, hs)}
+    ends = pairs.select("t", F.col("a").alias("id")).union(pairs.select("t", "b")).distinct()
+    parts = ends.groupBy("t").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+    placed = pairs.join(parts, "t").select("a", "b", "t", F.least(block("a"), block("b")).alias("x"), F.greatest(block("a"), block("b")).alias("y"))
+    members = placed.select("t", "x", "y", F.col("a").alias("id")).union(placed.select("t", "x", "y", "b")).distinct()
+    bodies = joined_small(rows, members, "id", "inner", 2 * n, BROADCAST_ROWS)
+
+    def compare(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}  # rows with equal ids are one node, so an id may have several texts
+        for i, s in zip(texts["id"].to_pylist(), shingle_sets([x.lower() for x in texts["body"].to_pylist()], SHINGLE), strict=True):
+            sets.setdefault(i, []).append(s)
+        found = [(i, j) for i, j in zip(wanted["a"].to_pylist(), wanted["b"].to_pylist(), strict=True) if any(alike(x, y) for x in sets.get(i, ()) for y in sets.get(j, ()))]
         return pa.Table.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return bodies.select("b", "part", "id", "is_b", "body").groupBy("b", "part").applyInArrow(lambda t: compare(t), "a long, b long")
+    key = ["t", "x", "y"]
+    wanted = placed.select(*[F.col(c).alias(f"{c}_") for c in key], "a", "b").groupBy(*[f"{c}_" for c in key])
+    return bodies.select(*key, "id", "body").groupBy(*key).cogroup(wanted).applyInArrow(lambda left, right: compare(left, right), "a long, b long")
 
 
 def still_open(shared: DataFrame, placed: DataFrame) -> DataFrame:
-    """(shingle, rep, n, pos, component) of prefix shingles whose texts lie in two components or more."""
-    met = shared.select("shingle", "group_key", "n", "pos").join(placed, "group_key").select("shingle", "rep", "n", "pos", "component")
+    """(shingle, group_key, rep, n, pos, component) of prefix shingles whose texts lie in two components or more."""
+    met = shared.select("shingle", "group_key", "n", "pos").join(placed, "group_key").select("shingle", "group_key", "rep", "n", "pos", "component")
     mixed = met.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle")
     return met.join(mixed, "shingle")
 
@@ -222,17 +231,65 @@ def pivot_pairs(open_: DataFrame, turn: int) -> DataFrame:
     whose id hashes lowest in this turn, so shingles of one group of copies have the same few pivots."""
     pivots = open_.groupBy("shingle").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "component")).alias("p"))
     met = open_.join(pivots, "shingle").filter("component <> p.component and 5 * n >= 4 * p.n and 5 * p.n >= 4 * n")
-    return met.groupBy(F.col("rep").alias("a"), F.col("p.rep").alias("b")).agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", "m.b")
+    return met.groupBy(F.col("rep").alias("a"), F.col("p.rep").alias("b")).agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", "m.b", F.col("m.b").alias("t"))
+
 
+def open_pairs(open_: DataFrame, tried: DataFrame, signed: DataFrame) -> DataFrame:
+    """All pairs (a, b, t) of texts that can still be alike: in different components, with a common prefix shingle, the
+    least of which is t, early enough and with enough others beside it.
 
-def open_pairs(open_: DataFrame, tried: DataFrame) -> DataFrame:
-    """All pairs of texts that lie in different components and share a prefix shingle early enough for 0.8: sets of n
-    and n2 need 4/9 (n + n2) shingles in common, and the first common one is followed by the others in both."""
+    Sets of n and n2 shingles need need = 4/9 (n + n2) in common.  The first common one is followed by the others in
+    both.  And of the text whose prefix ends earlier in the order, all common shingles of the prefix lie in the other
+    prefix too, so need - (n - length of the prefix) of them are in both prefixes.  Prefixes, not texts, move here.
+    """
     # By its place, a shingle can only be the first one in common with a set of up to this size, or not at all.
-    able = open_.withColumn("most", F.expr("(9 * (n - pos)) div 4 - n")).filter("5 * most >= 4 * n")
-    other = able.select("shingle", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("component").alias("component2"))
-    pairs = able.join(other, "shingle").filter("component < component2 and n2 <= most and n <= most2")
-    pairs = pairs.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
+    able = written(open_.withColumn("most", F.expr("(9 * (n - pos)) div 4 - n")).filter("5 * most >= 4 * n"), "able")
+    lists = able.groupBy("group_key", "rep").agg(F.collect_list(F.struct("shingle", "most")).alias("early"))
+    prefixes = signed.select("group_key", F.col("id").alias("rep"), "prefix").join(lists, ["group_key", "rep"]).dropDuplicates(["group_key", "rep"])
+    sizes = able.groupBy("shingle").agg(F.ceil(F.count("*") / PLACE).cast("int").alias("parts"))
+    buckets = max(8, able.count() // 4000)
+    own, other = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.col("other")
+    rows = (
+        able.join(sizes, "shingle")
+        .join(prefixes, ["group_key", "rep"])
+        .select("shingle", "rep", "n", "most", "component", "prefix", "early", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        .select(F.pmod(F.xxhash64("shingle"), F.lit(buckets)).alias("bucket"), F.least("own", other).alias("x"), F.greatest("own", other).alias("y"), "shingle", "rep", "n", "most", "component", "prefix", "early")
+    )
+
+    def listed(t: pa.Table) -> pa.Table:
+        t = t.sort_by("shingle")
+        shingle, rep, n, most, component = (t[c].to_numpy() for c in ("shingle", "rep", "n", "most", "component"))
+        prefix = [np.frombuffer(x, np.uint64) for x in t["prefix"].to_pylist()]
+        early = [{s["shingle"]: s["most"] for s in x} for x in t["early"].to_pylist()]
+        heads = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+        out: list[tuple[int, int, int]] = []
+        for a, e in zip(heads.tolist(), [*heads[1:].tolist(), len(shingle)], strict=True):
+            if e - a < 2 or (component[a:e] == component[a]).all():
+                continue
+            size, p = n[a:e], np.array([len(x) for x in prefix[a:e]])
+            fits = (component[a:e, None] != component[None, a:e]) & (size[:, None] <= most[None, a:e]) & (size[None, :] <= most[a:e, None]) & np.triu(np.ones((e - a, e - a), bool), 1)
+            if not fits.any():
+                continue
+            every, of = np.unique(np.concatenate(prefix[a:e]), return_inverse=True)
+            owner = np.repeat(np.arange(e - a), p)
+            wide = np.flatnonzero(np.bincount(of, minlength=len(every)) > 1)  # found in one prefix only: common to none
+            place = np.full(len(every), -1)
+            place[wide] = np.arange(len(wide))
+            common = np.zeros((e - a, e - a), np.float32)
+            for k in range(0, len(wide), 4096):
+                here = (place[of] >= k) & (place[of] < k + 4096)
+                m = np.zeros((e - a, min(4096, len(wide) - k)), np.float32)
+                m[owner[here], place[of][here] - k] = 1
+                common += m @ m.T
+            need = -(-4 * (size[:, None] + size[None, :]) // 9) - np.maximum((size - p)[:, None], (size - p)[None, :])
+            for i, j in zip(*np.nonzero(fits & (common >= need)), strict=True):
+                f, g = early[a + i], early[a + j]
+                if min(s for s in f.keys() & g.keys() if size[j] <= f[s] and size[i] <= g[s]) == shingle[a]:  # each pair once
+                    x, y = int(rep[a + i]), int(rep[a + j])
+                    out.append((max(x, y), min(x, y), int(shingle[a])))
+        return pa.Table.from_pydict({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("abt")})
+
+    pairs = rows.groupBy("bucket", "x", "y").applyInArrow(lambda t: listed(t), "a long, b long, t long").distinct()
     return pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
@@ -266,7 +323,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_group = leaders.select(F.col("group_key").alias("other"), F.col("leader").alias("b"))
     across = likely.join(leaders.select("group_key", F.col("leader").alias("a")), "group_key").join(by_group, "other").select("a", "b")
     inside = texts.join(leaders.filter("members > 1"), "group_key").filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
-    tried = written(across.union(inside).distinct(), "pairs")
+    tried = written(across.union(inside).distinct().withColumn("t", F.col("b")), "pairs")
     links = written(verified(rows, tried), "links")
 
     of = components(links)
@@ -274,11 +331,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     for turn in range(TURNS + 1):
         open_ = written(still_open(shared, placed), "open")
-        pairs = written(pivot_pairs(open_, turn) if turn < TURNS else open_pairs(open_, tried), "pairs")
+        pairs = written(pivot_pairs(open_, turn) if turn < TURNS else open_pairs(open_, tried, known), "pairs")
         links = written(verified(rows, pairs), "links")
         placed = written(merged(placed, links), "placed")
         if turn < TURNS and links.isEmpty():  # pivots find nothing more: list the pairs that are left
-            links = written(verified(rows, written(open_pairs(open_, tried), "pairs")), "links")
+            links = written(verified(rows, written(open_pairs(open_, tried, known), "pairs")), "links")
             placed = written(merged(placed, links), "placed")
             break
 
