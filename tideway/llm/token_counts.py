@@ -24,10 +24,11 @@ from tideway.llm.common import table, tokenizer_path, utf8
 TABLE_WORDS = 700_000
 #: Bytes handed to the library at once.
 BATCH_BYTES = 1 << 18
-#: Characters whose words can be cut further: printable ASCII without ' and <, and Latin-1 letters.  They have no
-#: combining marks, one-to-one lower case, and fall into the pre-tokenizer's letters, digits and others.
-PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
-PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: A text or word that can be cut further: printable ASCII without ' and <, Latin-1 letters, ASCII white space.  They
+#: have no combining marks, one-to-one lower case, and fall into the pre-tokenizer's letters, digits and others.
+PLAIN = re.compile(r"[\t-\r -&(-;=-~À-ÖØ-öø-ÿ]*")
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+")
+WORD_END = "</w>"
 
 
 class WordTable:
@@ -47,7 +48,10 @@ class WordTable:
         spec = json.loads(self.tokenizer.to_str())
         pre, norm = json.dumps(spec.get("pre_tokenizer")), json.dumps(spec.get("normalizer"))
         self.words = '"behavior": "Removed", "invert": true' in pre and r"[^\\s\\p{L}\\p{N}]+" in pre and "\\\\s+" in norm
-        self.plain = self.words and "Lowercase" in norm
+        vocab = self.tokenizer.get_vocab(True)
+        self.is_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.is_end[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        self.plain = self.words and "Lowercase" in norm and spec["model"].get("end_of_word_suffix") == WORD_END
         self.wide = self.tokenizer.get_vocab_size(True) > 1 << 16
         self.type = np.uint32 if self.wide else np.uint16
         self.ids: dict[bytes, bytes] = {}
@@ -65,35 +69,50 @@ class WordTable:
                     yield np.array(e.ids, dtype=self.type).tobytes()
                 batch, room = [], BATCH_BYTES
 
-    def learn(self, words: set[bytes]) -> None:
-        """Make sure that every word is in the table."""
-        if len(self.ids) > TABLE_WORDS:
+    def encoded_parts(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of each part.  A part is one match of the pre-tokenizer, so in a line of parts each ends at the one id
+        whose piece has the end mark, and a line is encoded at once."""
+        for k in range(0, len(parts), 2000):
+            line = parts[k : k + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(line), add_special_tokens=False).ids, dtype=self.type)
+            ends = (np.flatnonzero(self.is_end[ids]) + 1) * ids.itemsize
+            if len(ends) != len(line):
+                yield from self.encoded(line)
+                continue
+            data, at = ids.tobytes(), 0
+            for end in ends.tolist():
+                yield data[at:end]
+                at = end
+
+    def learn(self, words: set[bytes], parts: set[str]) -> None:
+        """Make sure that every word and part is in the table."""
+        if len(self.ids) > TABLE_WORDS // 4:
             self.ids = {w: self.ids[w] for w in words & self.ids.keys()}
         if len(self.parts) > TABLE_WORDS:
-            self.parts = {}
+            self.parts = {p: self.parts[p] for p in parts & self.parts.keys()}
         missing = list(words - self.ids.keys())
-        decoded = [w.decode() for w in missing]
-        if not self.plain:
-            self.ids.update(zip(missing, self.encoded(decoded), strict=True))
-            return
-        cut = [PARTS.findall(w.lower()) if PLAIN.fullmatch(w) else (w,) for w in decoded]
-        # A word that can't be cut stands in the table of parts as it is; a part of another word reads the same alone.
-        new = list({p for ps in cut for p in ps} - self.parts.keys())
-        self.parts.update(zip(new, self.encoded(new), strict=True))
-        get = self.parts.__getitem__
-        self.ids.update(zip(missing, [get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in cut], strict=True))
-
-    def runs(self, texts: list[bytes]) -> Iterator[list[list[bytes]]]:
-        """The words of each text, for runs of texts of about BATCH_BYTES * 16 bytes, once all are in the table."""
+        self.ids.update(zip(missing, self.encoded([w.decode() for w in missing]), strict=True))
+        new = list(parts - self.parts.keys())
+        self.parts.update(zip(new, self.encoded_parts(new), strict=True))
+
+    def runs(self, texts: list[bytes]) -> Iterator[Iterator[Iterator[bytes]]]:
+        """For runs of texts of about BATCH_BYTES * 16 bytes, each text's packed ids in pieces: by the parts of a plain
+        text, by the words of another."""
         at = 0
         while at < len(texts):
             size, end = 0, at
+            split: list[tuple[bool, list]] = []
             while end < len(texts) and size < BATCH_BYTES * 16:
                 size += len(texts[end])
+                text = texts[end].decode() if self.plain else ""
+                if self.plain and PLAIN.fullmatch(text):
+                    split.append((True, PARTS.findall(text.lower())))
+                else:
+                    split.append((False, texts[end].split()))
                 end += 1
-            split = [t.split() for t in texts[at:end]]
-            self.learn(set().union(*split))
-            yield split
+            self.learn(set().union(*(x for p, x in split if not p)), set().union(*(x for p, x in split if p)))
+            word, part = self.ids.__getitem__, self.parts.__getitem__
+            yield (map(part if plain else word, x) for plain, x in split)
             at = end
 
     def packed(self, texts: list[bytes]) -> Iterator[bytes]:
@@ -101,18 +120,16 @@ class WordTable:
         if not self.words:
             yield from self.encoded([t.decode() for t in texts])
             return
-        for split in self.runs(texts):
-            get = self.ids.__getitem__
-            yield from [b"".join(map(get, ws)) for ws in split]
+        for run in self.runs(texts):
+            yield from map(b"".join, run)
 
     def lengths(self, texts: list[bytes]) -> list[int]:
         """Token counts only: the packed ids are never joined."""
         width, out = np.dtype(self.type).itemsize, []
         if not self.words:
             return [len(x) // width for x in self.encoded([t.decode() for t in texts])]
-        for split in self.runs(texts):
-            get = self.ids.__getitem__
-            out += [sum(map(len, map(get, ws))) // width for ws in split]
+        for run in self.runs(texts):
+            out += [sum(map(len, pieces)) // width for pieces in run]
         return out
 
 

@@ -336,10 +336,11 @@ class CrcShift:
 def read_summary(manifest: DataFrame) -> DataFrame:
     """Per stored document: doc_id, start (ids of all documents before it), n_tokens and ids_crc32, from the files.
 
+    Planned as merge joins: the planner sees only the manifest's few rows and would broadcast what the files hold.
     A document's checksum is put together from its chunks' in recipe order, so chunk contents never move.
     """
     recipes = written(read_recipes(manifest), "recipes")
-    facts = recipes.select("part", "seq", "pos", F.posexplode("addresses").alias("k", "address")).join(read_chunks(manifest), "address", "left")
+    facts = recipes.select("part", "seq", "pos", F.posexplode("addresses").alias("k", "address")).join(read_chunks(manifest).hint("merge"), "address", "left")
     listed = facts.groupBy("part", "seq", "pos").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("n_ids", F.lit(-1)).alias("n_ids"), "crc"))).alias("chunks"))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +360,7 @@ def read_summary(manifest: DataFrame) -> DataFrame:
     return (
         recipes.select("part", "seq", "pos", "doc_id", "n_tokens", F.coalesce(inside, F.lit(0)).alias("inside"))
         .join(starts, ["part", "seq"])
-        .join(sums, ["part", "seq", "pos"])
+        .join(sums.hint("merge"), ["part", "seq", "pos"])
         .select("doc_id", (F.col("base") + F.col("inside")).alias("start"), F.col("n_read").alias("n_tokens"), "ids_crc32")
     )
 
@@ -368,7 +369,7 @@ def read_documents(manifest: DataFrame, vocabulary_wide: bool = False) -> DataFr
     """(doc_id, ids) of every document, rebuilt from its recipe and the packs."""
     recipes = read_recipes(manifest)
     chunks = read_chunks(manifest, vocabulary_wide, contents=True).select("address", "ids")
-    parts = recipes.select("part", "seq", "pos", "doc_id", F.posexplode("addresses").alias("k", "address")).join(chunks, "address")
+    parts = recipes.select("part", "seq", "pos", "doc_id", F.posexplode("addresses").alias("k", "address")).join(chunks.hint("merge"), "address")
     whole = parts.groupBy("part", "seq", "pos", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("chunks"))
     return whole.select("doc_id", F.flatten(F.col("chunks.ids")).alias("ids"))
 
