@@ -34,9 +34,7 @@ HEAVY, LOCAL, HEAVY_LIST = 12, 3, 1 << 20
 BUCKET, MEMBERS = 1_500_000, 128
 BROADCAST_ROWS = 400_000
 #: Turns in which open texts are compared with pivots only, before all pairs that are left.
-TURNS = 3
-#: Texts that meet in one shingle are dealt to blocks of about so many.
-PLACE = 1024
+TURNS = 4
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -234,62 +232,15 @@ def pivot_pairs(open_: DataFrame, turn: int) -> DataFrame:
     return met.groupBy(F.col("rep").alias("a"), F.col("p.rep").alias("b")).agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", "m.b", F.col("m.b").alias("t"))
 
 
-def open_pairs(open_: DataFrame, tried: DataFrame, signed: DataFrame) -> DataFrame:
-    """All pairs (a, b, t) of texts that can still be alike: in different components, with a common prefix shingle, the
-    least of which is t, early enough and with enough others beside it.
-
-    Sets of n and n2 shingles need need = 4/9 (n + n2) in common.  The first common one is followed by the others in
-    both.  And of the text whose prefix ends earlier in the order, all common shingles of the prefix lie in the other
-    prefix too, so need - (n - length of the prefix) of them are in both prefixes.  Prefixes, not texts, move here.
-    """
+def open_pairs(open_: DataFrame, tried: DataFrame) -> DataFrame:
+    """All pairs (a, b, t) of texts that lie in different components and share a prefix shingle early enough for 0.8,
+    the least of which is t: sets of n and n2 need 4/9 (n + n2) shingles in common, and the first common one is
+    followed by the others in both."""
     # By its place, a shingle can only be the first one in common with a set of up to this size, or not at all.
-    able = written(open_.withColumn("most", F.expr("(9 * (n - pos)) div 4 - n")).filter("5 * most >= 4 * n"), "able")
-    lists = able.groupBy("group_key", "rep").agg(F.collect_list(F.struct("shingle", "most")).alias("early"))
-    prefixes = signed.select("group_key", F.col("id").alias("rep"), "prefix").join(lists, ["group_key", "rep"]).dropDuplicates(["group_key", "rep"])
-    sizes = able.groupBy("shingle").agg(F.ceil(F.count("*") / PLACE).cast("int").alias("parts"))
-    buckets = max(8, able.count() // 4000)
-    own, other = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.col("other")
-    rows = (
-        able.join(sizes, "shingle")
-        .join(prefixes, ["group_key", "rep"])
-        .select("shingle", "rep", "n", "most", "component", "prefix", "early", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select(F.pmod(F.xxhash64("shingle"), F.lit(buckets)).alias("bucket"), F.least("own", other).alias("x"), F.greatest("own", other).alias("y"), "shingle", "rep", "n", "most", "component", "prefix", "early")
-    )
-
-    def listed(t: pa.Table) -> pa.Table:
-        t = t.sort_by("shingle")
-        shingle, rep, n, most, component = (t[c].to_numpy() for c in ("shingle", "rep", "n", "most", "component"))
-        prefix = [np.frombuffer(x, np.uint64) for x in t["prefix"].to_pylist()]
-        early = [{s["shingle"]: s["most"] for s in x} for x in t["early"].to_pylist()]
-        heads = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
-        out: list[tuple[int, int, int]] = []
-        for a, e in zip(heads.tolist(), [*heads[1:].tolist(), len(shingle)], strict=True):
-            if e - a < 2 or (component[a:e] == component[a]).all():
-                continue
-            size, p = n[a:e], np.array([len(x) for x in prefix[a:e]])
-            fits = (component[a:e, None] != component[None, a:e]) & (size[:, None] <= most[None, a:e]) & (size[None, :] <= most[a:e, None]) & np.triu(np.ones((e - a, e - a), bool), 1)
-            if not fits.any():
-                continue
-            every, of = np.unique(np.concatenate(prefix[a:e]), return_inverse=True)
-            owner = np.repeat(np.arange(e - a), p)
-            wide = np.flatnonzero(np.bincount(of, minlength=len(every)) > 1)  # found in one prefix only: common to none
-            place = np.full(len(every), -1)
-            place[wide] = np.arange(len(wide))
-            common = np.zeros((e - a, e - a), np.float32)
-            for k in range(0, len(wide), 4096):
-                here = (place[of] >= k) & (place[of] < k + 4096)
-                m = np.zeros((e - a, min(4096, len(wide) - k)), np.float32)
-                m[owner[here], place[of][here] - k] = 1
-                common += m @ m.T
-            need = -(-4 * (size[:, None] + size[None, :]) // 9) - np.maximum((size - p)[:, None], (size - p)[None, :])
-            for i, j in zip(*np.nonzero(fits & (common >= need)), strict=True):
-                f, g = early[a + i], early[a + j]
-                if min(s for s in f.keys() & g.keys() if size[j] <= f[s] and size[i] <= g[s]) == shingle[a]:  # each pair once
-                    x, y = int(rep[a + i]), int(rep[a + j])
-                    out.append((max(x, y), min(x, y), int(shingle[a])))
-        return pa.Table.from_pydict({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("abt")})
-
-    pairs = rows.groupBy("bucket", "x", "y").applyInArrow(lambda t: listed(t), "a long, b long, t long").distinct()
+    able = open_.withColumn("most", F.expr("(9 * (n - pos)) div 4 - n")).filter("5 * most >= 4 * n")
+    other = able.select("shingle", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("component").alias("component2"))
+    pairs = able.join(other, "shingle").filter("component < component2 and n2 <= most and n <= most2")
+    pairs = pairs.groupBy(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).agg(F.min("shingle").alias("t"))
     return pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
@@ -331,11 +282,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     for turn in range(TURNS + 1):
         open_ = written(still_open(shared, placed), "open")
-        pairs = written(pivot_pairs(open_, turn) if turn < TURNS else open_pairs(open_, tried, known), "pairs")
+        pairs = written(pivot_pairs(open_, turn) if turn < TURNS else open_pairs(open_, tried), "pairs")
         links = written(verified(rows, pairs), "links")
         placed = written(merged(placed, links), "placed")
         if turn < TURNS and links.isEmpty():  # pivots find nothing more: list the pairs that are left
-            links = written(verified(rows, written(open_pairs(open_, tried, known), "pairs")), "links")
+            links = written(verified(rows, written(open_pairs(open_, tried), "pairs")), "links")
             placed = written(merged(placed, links), "placed")
             break
 
