@@ -260,7 +260,7 @@ def read_pages(manifest: DataFrame) -> DataFrame:
                     if fields["WARC-Type"] not in ("response", "revisit"):
                         continue
                     head, payload = http_split(block)
-                    page, declared, given = head_value(head, b"X-Page-Id"), int(head_value(head, b"Content-Length") or 0), fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    page, declared, given = head_value(head, b"X-Page-Id"), int(head_value(head, b"Content-Length") or len(payload)), fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if fields["WARC-Type"] == "response" and (len(payload) != declared or sha1(payload) != given):
                         raise ValueError(f"{uri}: the payload of page {page} is damaged")
                     refers = fields.get("X-Refers-To-Page-Id")
