@@ -8,8 +8,9 @@ heavy shingles may be bounded; it only keeps passages that many documents share
 Steps: documents with identical prefix and size become one group; prefixes meet by shingle and give group pairs;
 groups expand to members (one for each distinct text) and members are verified on their whole sets.  Components need
 one link, not all pairs: every group is first verified against its likeliest partners, linked texts become a component,
-and only then pairs that still lie in different components are listed and verified, all of them.  So a large group of
-copies costs as many comparisons as it has members, and no link between different components is lost.
+and only then texts that still lie in different components meet again by shingle, dealt to blocks, and are compared on
+whole texts, block by block, all of them.  So a large group of copies costs as many comparisons as it has members, no
+link between different components is lost, and no pair of texts is ever a row unless it is a link or a first try.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ HEAVY, LOCAL, HEAVY_LIST = 12, 3, 1 << 20
 #: Prefix shingles in one bucket of the meeting step, on average, and texts in one block of a comparison.
 BUCKET, MEMBERS = 1_500_000, 128
 BROADCAST_ROWS = 400_000
-#: Turns in which open texts are compared with pivots only, before all pairs that are left.
-TURNS = 4
+#: Shingles in one block of texts, and columns of one matrix product.
+BLOCK_SHINGLES, COLUMNS = 400_000, 4096
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -224,24 +225,118 @@ def still_open(shared: DataFrame, placed: DataFrame) -> DataFrame:
     return met.join(mixed, "shingle")
 
 
-def pivot_pairs(open_: DataFrame, turn: int) -> DataFrame:
-    """One pair (a, b) for each open text: the pivot that it shares most shingles with.  A shingle's pivot is the text
-    whose id hashes lowest in this turn, so shingles of one group of copies have the same few pivots."""
-    pivots = open_.groupBy("shingle").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "component")).alias("p"))
-    met = open_.join(pivots, "shingle").filter("component <> p.component and 5 * n >= 4 * p.n and 5 * p.n >= 4 * n")
-    return met.groupBy(F.col("rep").alias("a"), F.col("p.rep").alias("b")).agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", "m.b", F.col("m.b").alias("t"))
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], one: bool) -> np.ndarray:
+    """How many shingles each set of ``left`` has in common with each of ``right`` (``one``: both are the same list).
 
-
-def open_pairs(open_: DataFrame, tried: DataFrame) -> DataFrame:
-    """All pairs (a, b, t) of texts that lie in different components and share a prefix shingle early enough for 0.8,
-    the least of which is t: sets of n and n2 need 4/9 (n + n2) shingles in common, and the first common one is
-    followed by the others in both."""
+    Only shingles that can be common become columns, COLUMNS at a time, and a product of 0/1 matrices counts them.
+    """
+    out = np.zeros((len(left), len(right)), np.float32)
+    if one:
+        every, n = np.unique(np.concatenate(left), return_counts=True)
+        common = every[n > 1]
+    else:
+        common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def marks(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(sets), len(part)), np.float32)
+        for i, s in enumerate(sets):
+            here = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+            at = np.searchsorted(part, here)
+            m[i, at[part[at] == here]] = 1
+        return m
+
+    for k in range(0, len(common), COLUMNS):
+        part = common[k : k + COLUMNS]
+        m = marks(left, part)
+        out += m @ (m if one else marks(right, part)).T
+    return out
+
+
+def new_links(ids: list[int], of: list[int], sets: list[np.ndarray], on_left: np.ndarray, on_right: np.ndarray) -> list[tuple[int, int]]:
+    """Links (a, b) between the left and right texts, as few as join all components ``of`` that they join."""
+    left, right = np.flatnonzero(on_left), np.flatnonzero(on_right)
+    both = overlaps([sets[i] for i in left], [sets[i] for i in right], bool((on_left == on_right).all()))
+    n = np.array([len(s) for s in sets], np.int64)
+    union = n[left][:, None] + n[right][None, :] - both
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero((both > 0) & (100 * both.astype(np.int64) >= 80 * union)), strict=True):
+        a, b = int(left[i]), int(right[j])
+        x, y = root(of[a]), root(of[b])
+        if x != y:
+            parent[x] = y
+            found.append((ids[a], ids[b]))
+    return found
+
+
+def block_pairs(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, component, block) of open texts, and the pairs (x, y), x <= y, of blocks in which two texts of different
+    components may be alike.
+
+    Sets of s and l shingles, s <= l, need 4/9 (s + l) in common.  The first common one is followed by the others in
+    both, so it must come early enough.  And of the text whose prefix ends earlier in the order, all common shingles
+    of the prefix lie in the other prefix too, and at most 0.8 l lie behind it: (20 s - 16 l) / 45 are in both.
+
+    A text's home is the one of its shingles that most open texts have, so a group of near copies has few homes.  A
+    home's texts are dealt by size to blocks of about MEMBERS texts and BLOCK_SHINGLES shingles.  A shingle then names
+    the blocks that it lies in, not its texts: a group of m near copies costs (m / MEMBERS) ** 2 rows.
+    """
     # By its place, a shingle can only be the first one in common with a set of up to this size, or not at all.
-    able = open_.withColumn("most", F.expr("(9 * (n - pos)) div 4 - n")).filter("5 * most >= 4 * n")
-    other = able.select("shingle", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("component").alias("component2"))
-    pairs = able.join(other, "shingle").filter("component < component2 and n2 <= most and n <= most2")
-    pairs = pairs.groupBy(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).agg(F.min("shingle").alias("t"))
-    return pairs.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    open_ = written(open_.withColumn("most", F.expr("(9 * (n - pos)) div 4 - n")), "open")
+    counts = open_.groupBy("shingle").agg(F.count("*").alias("c"))
+    homes = open_.join(counts, "shingle").groupBy("rep").agg(F.max(F.struct("c", F.xxhash64("shingle").alias("h"))).alias("m"), F.max("n").alias("n"), F.first("component").alias("component"))
+    homes = homes.select("rep", "n", "component", F.xxhash64("m.h", F.floor(16 * F.log("n"))).alias("h"))
+    parts = homes.groupBy("h").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    placed = written(homes.join(parts, "h").select("rep", "component", F.xxhash64("h", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block")), "blocks")
+    facts = ["block", "lo", "hi", "small", "large", "most"]
+    spots = open_.join(placed.select("rep", "block"), "rep").groupBy("shingle", "block")
+    spots = spots.agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large"), F.max("most").alias("most"))
+    met = spots.join(spots.select("shingle", *[F.col(c).alias(f"{c}2") for c in facts]), "shingle").filter("block <= block2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
+    sides = met.groupBy(F.col("block").alias("x"), F.col("block2").alias("y")).agg(
+        F.count("*").alias("c"),
+        F.max(F.expr("small2 <= most and small <= most2")).alias("early"),
+        F.min(F.least("small", "small2")).alias("s"),
+        F.max(F.greatest("large", "large2")).alias("l"),
+    )
+    return placed, sides.filter("early and 45 * c >= 20 * s - 16 * l").select("x", "y")
+
+
+def links_by_block(rows: DataFrame, placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (a, b) that join components of the texts in each pair of blocks, found on whole texts."""
+    ends = pairs.select("x", "y", F.col("x").alias("block")).union(pairs.filter("x <> y").select("x", "y", "y"))
+    members = written(ends.join(placed, "block").select("x", "y", "block", "component", F.col("rep").alias("id")), "members")
+    bodies = joined_small(rows, members, "id", "inner", members.count(), BROADCAST_ROWS)
+    dealt = bodies.select("x", "y", "block", "component", "id", "body").repartition("x", "y").sortWithinPartitions("x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: pa.Table) -> pa.RecordBatch:
+            x, y, block = held["x"][0].as_py(), held["y"][0].as_py(), held["block"].to_numpy()
+            sets = shingle_sets([t.lower() for t in held["body"].to_pylist()], SHINGLE)
+            found = new_links(held["id"].to_pylist(), held["component"].to_pylist(), sets, block == x, block == y)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        held, now = [], None  # a pair of blocks may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+            heads = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            for at, end in zip(heads.tolist(), [*heads[1:].tolist(), len(x)], strict=True):
+                if held and now != (x[at], y[at]):
+                    yield told(pa.Table.from_batches(held))
+                    held = []
+                now = (x[at], y[at])
+                held.append(b.slice(at, end - at))
+        if held:
+            yield told(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def merged(placed: DataFrame, links: DataFrame) -> DataFrame:
@@ -280,15 +375,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = components(links)
     placed = written(texts.join(of, texts.rep == of.node, "left").select("rep", "group_key", F.coalesce("component", "rep").alias("component")), "placed")
 
-    for turn in range(TURNS + 1):
-        open_ = written(still_open(shared, placed), "open")
-        pairs = written(pivot_pairs(open_, turn) if turn < TURNS else open_pairs(open_, tried), "pairs")
-        links = written(verified(rows, pairs), "links")
-        placed = written(merged(placed, links), "placed")
-        if turn < TURNS and links.isEmpty():  # pivots find nothing more: list the pairs that are left
-            links = written(verified(rows, written(open_pairs(open_, tried), "pairs")), "links")
-            placed = written(merged(placed, links), "placed")
-            break
+    links = written(links_by_block(rows, *block_pairs(still_open(shared, placed))), "links")
+    placed = written(merged(placed, links), "placed")
 
     by_text = texts.select("text_key", "rep").join(placed, "rep").select("text_key", "component")
     found = signed.join(by_text, "text_key", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component"))
