@@ -98,6 +98,22 @@ def test_jaccard_join_heavy_shingles(spark, monkeypatch):
     assert by_row(jaccard_join.jaccard_components(df)) == expected_components(rows)
 
 
+def test_jaccard_join_of_near_copies_around_the_limit(spark, monkeypatch):
+    """Near copies of one text, most pairs of which lie just under or over 0.8, in many blocks; sizes differ as well."""
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 8)
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(120):
+        ws = [f"w{k}" for k in range(int(rng.integers(90, 130)))]
+        for j in rng.choice(len(ws), int(rng.integers(0, 4)), replace=False):
+            ws[j] = f"new{i}x{j}"
+        rows.append((i, " ".join(ws)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    expected = expected_components(rows)
+    assert 1 < len({c for _, _, c in expected}) < 120
+    assert by_row(jaccard_join.jaccard_components(df)) == expected
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.range(100, 160).select(F.lit(99).cast("long").alias("a"), F.col("id").alias("b")))
     found = {r.node: r.component for r in components.components(edges).collect()}
