@@ -114,6 +114,22 @@ def test_jaccard_join_of_near_copies_around_the_limit(spark, monkeypatch):
     assert by_row(jaccard_join.jaccard_components(df)) == expected
 
 
+def test_jaccard_join_inside_one_group(spark):
+    """B and C of a group (same prefix and size) are alike, but neither is like the group's leader A; sometimes D has a part of them."""
+    rows, same = [], 0
+    for g in range(60):
+        ws = [f"g{g}w{k}" for k in range(13)]
+        b, c = [*ws[:11], f"x{g}", f"y{g}"], [*ws[:11], f"x{g}", f"z{g}"]
+        rows += [(10 * g, " ".join(ws)), (10 * g + 1, " ".join(b)), (10 * g + 2, " ".join(c))]
+        same += len({tuple(jaccard_join.shingle_sets([t.encode()], 5)[0][:2]) for _, t in rows[-3:]}) == 1
+        if g % 2:
+            rows.append((10 * g + 3, " ".join([*ws[g % 7 : g % 7 + 5], *(f"d{g}v{k}" for k in range(8))])))
+    assert same > 9
+    expected = expected_components(rows)
+    assert (1, 9, 1) in expected and (2, 9, 1) in expected
+    assert by_row(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))) == expected
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.range(100, 160).select(F.lit(99).cast("long").alias("a"), F.col("id").alias("b")))
     found = {r.node: r.component for r in components.components(edges).collect()}

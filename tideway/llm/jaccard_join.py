@@ -8,7 +8,7 @@ heavy shingles may be bounded; it only keeps passages that many documents share
 Steps: documents with identical prefix and size become one group; prefixes meet by shingle and give group pairs;
 groups expand to members (one for each distinct text) and members are verified on their whole sets.  Components need
 one link, not all pairs: every group is first verified against its likeliest partners, linked texts become a component,
-and only then texts that still lie in different components meet again by shingle, dealt to blocks, and are compared on
+and only then texts that still lie in different components, of one group or of two, meet again by shingle, dealt to blocks, and are compared on
 whole texts, block by block, all of them.  So a large group of copies costs as many comparisons as it has members, no
 link between different components is lost, and no pair of texts is ever a row unless it is a link or a first try.
 """
@@ -218,9 +218,34 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return bodies.select(*key, "id", "body").groupBy(*key).cogroup(wanted).applyInArrow(lambda left, right: compare(left, right), "a long, b long")
 
 
-def still_open(shared: DataFrame, placed: DataFrame) -> DataFrame:
-    """(shingle, group_key, rep, n, pos, component) of prefix shingles whose texts lie in two components or more."""
-    met = shared.select("shingle", "group_key", "n", "pos").join(placed, "group_key").select("shingle", "group_key", "rep", "n", "pos", "component")
+def whole_prefixes(signed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(shingle, group_key, n, pos) for all prefix shingles of these groups, also those that no other group has."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            lengths = [len(x) for x in parts]
+            if not sum(lengths):
+                continue
+            keys, n = (np.repeat(b.column(k).to_numpy(), lengths) for k in (0, 1))
+            pos = np.minimum(np.concatenate([np.arange(k) for k in lengths]), 65535)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(keys), pa.array(n), pa.array(pos)], ["shingle", "group_key", "n", "pos"])
+
+    one = signed.join(groups, "group_key", "left_semi").groupBy("group_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return one.mapInArrow(unpack, "shingle long, group_key long, n long, pos long")
+
+
+def still_open(shared: DataFrame, signed: DataFrame, placed: DataFrame) -> DataFrame:
+    """(shingle, group_key, rep, n, pos, component) of prefix shingles whose texts lie in two components or more.
+
+    ``shared`` lacks the shingles of one group only, but a group whose members lie in several components is open within
+    itself as well: its whole prefix takes part.
+    """
+    split = written(placed.groupBy("group_key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("group_key"), "split")
+    few = split.count() <= BROADCAST_ROWS
+    groups = F.broadcast(split) if few else split
+    facts = shared.select("shingle", "group_key", "n", "pos").join(groups, "group_key", "left_anti").select("shingle", "group_key", "n", "pos")
+    met = facts.union(whole_prefixes(signed, groups)).join(placed, "group_key").select("shingle", "group_key", "rep", "n", "pos", "component")
     mixed = met.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("shingle")
     return met.join(mixed, "shingle")
 
@@ -375,7 +400,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = components(links)
     placed = written(texts.join(of, texts.rep == of.node, "left").select("rep", "group_key", F.coalesce("component", "rep").alias("component")), "placed")
 
-    links = written(links_by_block(rows, *block_pairs(still_open(shared, placed))), "links")
+    links = written(links_by_block(rows, *block_pairs(still_open(shared, known, placed))), "links")
     placed = written(merged(placed, links), "placed")
 
     by_text = texts.select("text_key", "rep").join(placed, "rep").select("text_key", "component")
