@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -243,6 +244,48 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def allowed(m):
+    return m - -(-m * decontaminate.AGREE // decontaminate.WINDOW)
+
+
+def test_decontamination_masks_miss_no_alignment():
+    """All patterns of words that may differ, in runs of 1 to 16 words, leave a mask whole."""
+    for m in range(1, decontaminate.WINDOW + 1):
+        masks = next(masks for n, masks in decontaminate.BANDS if n <= m)
+        spots = [{at + j for j, c in enumerate(x) if c == "1"} for x in masks for at in range(m - len(x) + 1)]
+        for gone in itertools.combinations(range(m), allowed(m)):
+            assert any(s.isdisjoint(gone) for s in spots), (m, gone)
+    every = [x for _, masks in decontaminate.BANDS for x in masks]
+    assert len(set(every)) == len(every) and all(x[0] == "1" for x in every)
+
+
+def test_decontamination_of_altered_and_short_items(spark):
+    rng = np.random.default_rng(6)
+    items = {m * 10 + k: [f"i{m}x{k}w{j}" for j in range(m)] for m in [*range(1, 18), 24] for k in range(2)}
+    texts = []
+    for i, ws in items.items():
+        window = min(len(ws), decontaminate.WINDOW)
+        for much in range(allowed(window) + 2):
+            for gone in [rng.choice(window, min(much, window), replace=False) for _ in range(3)] + [np.array([0, 2, 13][:much])]:
+                copy = [f"z{len(texts)}" if j in gone else w for j, w in enumerate(ws)]
+                texts.append([f"a{len(texts)}"] * int(rng.integers(0, 3)) + copy + [f"b{len(texts)}"] * int(rng.integers(0, 3)))
+    texts.append(items[50][:4])  # an item's part, and two texts of one id
+    words = [(k // 2 if k < 20 else k, ws) for k, ws in enumerate(texts)]
+    want: dict = {}
+    for d, ws in words:
+        for i, item in items.items():
+            window = min(len(item), decontaminate.WINDOW)
+            for shift in range(-len(item), len(ws)):
+                low = max(-shift, 0)
+                equal = [ws[j + shift] == item[j] for j in range(low, min(len(item), len(ws) - shift))]
+                if any(sum(equal[k : k + window]) * decontaminate.WINDOW >= window * decontaminate.AGREE for k in range(len(equal) - window + 1)):
+                    want[d, i] = max(want.get((d, i), (0, 0)), (sum(equal), -low - shift))
+    docs = spark.createDataFrame([(d, " ".join(ws)) for d, ws in words], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): (r.n_equal, -r.start) for r in decontaminate.contaminated(docs, bench).collect()} == want
+    assert {i for _, i in want} == set(items)
+
+
 def test_quality_features(docs, rows, none):
     want = Counter()
     for i, t in rows:
