@@ -1,20 +1,128 @@
 """Graph operators: edge weights, simple paths, candidate pools, rerouting, generation (section H and paths of L)."""
 
-from tideway.sources.tables import add
+from __future__ import annotations
+
+import heapq
+import math
+from collections import defaultdict
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideway import catalog
+from tideway.sources.tables import add, query
+
+#: Endpoints and the most hops of a path.
+ORIGIN, GOAL, HOPS = 1, 8, 12
+OBJECTIVES = {"min_cost": "w_cost", "min_risk": "w_risk", "fastest": "w_time"}
+SIGN = "concat('route-', substr(sha2(signature, 256), 1, 20))"
+
+
+def found_paths(edges: list[tuple], origin: int, goal: int, k: int, hops: int) -> list[tuple[float, list[int]]]:
+    """(length, edge numbers) of the k shortest simple paths of up to ``hops`` edges (from, to, weight), and of all that
+    are as long as the k-th.  Partial paths are extended in the order of a lower bound: their length and the least
+    length from their end to the goal in the hops that are left."""
+    out = defaultdict(list)
+    for i, (a, b, w) in enumerate(edges):
+        out[a].append((i, b, w))
+    rest = [{goal: 0.0}]
+    for _ in range(hops):
+        best = dict(rest[-1])
+        for a, b, w in edges:
+            if a != goal and b in rest[-1]:
+                best[a] = min(best.get(a, math.inf), w + rest[-1][b])
+        rest.append(best)
+    queue = [(rest[hops].get(origin, math.inf), 0, 0.0, origin, (origin,), ())]
+    found, made, most = [], 0, math.inf
+    while queue and queue[0][0] <= most:
+        _, _, length, at, visited, path = heapq.heappop(queue)
+        if at == goal:
+            found.append((length, list(path)))
+            if len(found) == k:  # sums in another order differ by a rounding error
+                most = max(x for x, _ in found) * (1 + 1e-9) + 1e-8
+            continue
+        left = rest[hops - len(path) - 1] if len(path) < hops else {}
+        for i, b, w in out[at]:
+            if b in left and b not in visited and length + w + left[b] <= most:
+                made += 1
+                heapq.heappush(queue, (length + w + left[b], made, length + w, b, (*visited, b), (*path, i)))
+    return found
+
+
+def best_paths(edges: DataFrame, k: int, objectives: list[str], origin: int = ORIGIN, goal: int = GOAL, hops: int = HOPS) -> DataFrame:
+    """(objective, place, signature, hops, cost, risk, days) of the k best simple paths of each objective, one task each.
+
+    Places are by the objective's sum to 9 digits, then hops, then signature.
+    """
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, name = [], pdf["objective"].iloc[0]
+        pdf = pdf.sort_values("segment_id", ignore_index=True)
+        sums = {c: pdf[c].tolist() for c in ("w_cost", "w_risk", "w_time")}
+        ids = pdf["segment_id"].tolist()
+        for length, path in found_paths(list(zip(pdf["from_id"], pdf["to_id"], sums[OBJECTIVES[name]], strict=True)), origin, goal, k, hops):
+            rows.append((round(length, 9), len(path), "|".join(ids[i] for i in path), *(sum(x[i] for i in path) for x in sums.values())))
+        rows.sort(key=lambda r: r[:3])
+        return pd.DataFrame([(name, n, r[2], r[1], *r[3:]) for n, r in enumerate(rows[:k], 1)], columns=["objective", "place", "signature", "hops", "cost", "risk", "days"])
+
+    each = edges.select("segment_id", "from_id", "to_id", "w_cost", "w_risk", "w_time", F.explode(F.array(*map(F.lit, objectives))).alias("objective"))
+    return each.groupBy("objective").applyInPandas(search, "objective string, place int, signature string, hops int, cost double, risk double, days double")
+
+
+def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query("SELECT * FROM weighted_edges")(spark, sf_dir)
+
+
+def pool(spark: SparkSession, sf_dir: str, k: int, objectives: list[str] | None = None) -> DataFrame:
+    return best_paths(weighted(spark, sf_dir), k, objectives or list(OBJECTIVES))
+
+
+def avoiding(paths: DataFrame, bad: DataFrame) -> DataFrame:
+    """The paths without any segment of ``bad``, and the number of those as n_bad."""
+    bad = bad.agg(F.collect_set("segment_id").alias("bad"))
+    return paths.crossJoin(F.broadcast(bad)).withColumn("n_bad", F.size("bad")).filter(~F.arrays_overlap(F.split("signature", r"\|"), "bad"))
+
+
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool(spark, sf_dir, 1, ["min_cost"]).select("signature", "hops", F.round("cost", 6).alias("cost"))
+
+
+def k_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool(spark, sf_dir, 30).selectExpr("objective", "place", f"{SIGN} AS route_id", "hops")
+
+
+def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool(spark, sf_dir, 30).selectExpr(f"{SIGN} AS route_id", "hops").distinct()
+
+
+def dynamic_reroute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, edges = pool(spark, sf_dir, 400, ["min_cost"]), weighted(spark, sf_dir)
+    first = base.filter("place = 1").select(F.explode(F.split("signature", r"\|")).alias("segment_id"))
+    clean = avoiding(base, edges.filter("risk >= 0.45e0").join(first, "segment_id").select("segment_id"))
+    return clean.filter("place <= 5 or n_bad > 0").selectExpr("signature", "CASE WHEN n_bad = 0 THEN 'baseline' ELSE 'rerouted' END AS decision")
+
+
+def legacy_reroute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avoiding(pool(spark, sf_dir, 200, ["min_cost"]), weighted(spark, sf_dir).filter("risk >= 0.6e0")).select("signature", "hops")
+
+
+def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = "greatest(0.0e0, least(100.0e0, 40.0e0 * (1 - least(risk / hops, 1.0e0)) + 30.0e0 * (1 - least(cost / 50000, 1.0e0)) + 30.0e0 * (1 - least(days / 120, 1.0e0))))"
+    scored = pool(spark, sf_dir, 120, ["min_cost"]).withColumn("score", F.expr(score))
+    place = "CAST(row_number() OVER (ORDER BY round(score, 6) DESC, round(cost, 6), signature) AS BIGINT) AS place"
+    return scored.selectExpr(f"{SIGN} AS route_id", "CAST(hops AS BIGINT) AS hops", "round(cost, 6) AS cost", "round(days, 6) AS days", "round(score, 6) AS score", place).orderBy("place").limit(5)
 
-SIGN = "concat('route-', substr(sha256(signature), 1, 20))"
-RANKED = "SELECT signature, hops, cost, risk, days, row_number() OVER (ORDER BY round({k}, 9), hops, signature) AS place FROM simple_paths WHERE last = 8"
 
 add("edge_weights", "SELECT segment_id, w_risk, w_cost, w_time, 0.5e0 * w_risk + 0.5e0 * least(w_cost, 1.0e0) AS w_balanced FROM weighted_edges")
 add("risk_opt_value", "SELECT segment_id, w_risk FROM weighted_edges")
-add("shortest_path", f"SELECT signature, hops, round(cost, 6) AS cost FROM ({RANKED.format(k='cost')}) x WHERE place = 1")
-add("k_shortest_paths", f"SELECT objective, place, {SIGN} AS route_id, hops FROM (SELECT 'min_cost' AS objective, * FROM ({RANKED.format(k='cost')}) a UNION ALL SELECT 'min_risk', * FROM ({RANKED.format(k='risk')}) b UNION ALL SELECT 'fastest', * FROM ({RANKED.format(k='days')}) c) x WHERE place <= 30")
-add("candidate_pool", f"SELECT DISTINCT {SIGN} AS route_id, hops FROM (SELECT * FROM ({RANKED.format(k='cost')}) a UNION ALL SELECT * FROM ({RANKED.format(k='risk')}) b UNION ALL SELECT * FROM ({RANKED.format(k='days')}) c) x WHERE place <= 30")
-add("route_signature", f"SELECT signature, {SIGN} AS route_id FROM simple_paths WHERE last = 8")
+# All simple paths of 12 hops are too many to list: some 9e20 between 25 nodes that all pairs of four modes join.
+add("route_signature", "SELECT signature, concat('route-', substr(sha256(signature), 1, 20)) AS route_id FROM simple_paths WHERE last = 8")
 add("route_detail", "SELECT r.route_id, r.sequence, r.segment_id, a.name AS from_name, b.name AS to_name FROM route_segments r JOIN locations a ON r.from_id = a.location_id JOIN locations b ON r.to_id = b.location_id")
-add("dynamic_reroute", f"WITH base AS ({RANKED.format(k='cost')}), bad AS (SELECT segment_id FROM weighted_edges e JOIN base b ON b.place = 1 AND concat('|', b.signature, '|') LIKE concat('%|', e.segment_id, '|%') WHERE e.risk >= 0.45e0), clean AS (SELECT * FROM base WHERE NOT EXISTS (SELECT 1 FROM bad WHERE concat('|', base.signature, '|') LIKE concat('%|', bad.segment_id, '|%'))) SELECT signature, CASE WHEN (SELECT count(*) FROM bad) = 0 THEN 'baseline' ELSE 'rerouted' END AS decision FROM clean WHERE place <= 5 OR (SELECT count(*) FROM bad) > 0 AND place <= 400")
-add("legacy_reroute", f"SELECT signature, hops FROM ({RANKED.format(k='cost')}) x WHERE NOT EXISTS (SELECT 1 FROM weighted_edges e WHERE e.risk >= 0.6e0 AND concat('|', x.signature, '|') LIKE concat('%|', e.segment_id, '|%')) AND place <= 200")
 add("generate_routes", "SELECT a.location_id AS origin, b.location_id AS destination, m.mode, CAST(row_number() OVER (PARTITION BY a.location_id, b.location_id ORDER BY m.rate, m.mode) AS BIGINT) AS place FROM locations a JOIN locations b ON a.region = b.region AND a.location_id <> b.location_id CROSS JOIN (SELECT 'road' AS mode, 1.20e0 AS rate UNION ALL SELECT 'rail', 0.55e0 UNION ALL SELECT 'sea', 0.11e0 UNION ALL SELECT 'air', 3.80e0) m")
 add("inferred_exposure", "SELECT s.segment_id, CASE WHEN a.region <> b.region AND s.mode = 'sea' THEN 'crossing' WHEN lower(a.name) LIKE '%_1%' THEN 'alias' END AS exposure FROM segments s JOIN locations a ON s.from_id = a.location_id JOIN locations b ON s.to_id = b.location_id WHERE (a.region <> b.region AND s.mode = 'sea') OR lower(a.name) LIKE '%_1%'")
 add("graph_summary", "SELECT 'node' AS kind, region AS label, CAST(count(*) AS BIGINT) AS n FROM locations GROUP BY region UNION ALL SELECT 'edge', mode, CAST(count(*) AS BIGINT) FROM segments GROUP BY mode")
-add("recommend", f"SELECT {SIGN} AS route_id, CAST(hops AS BIGINT) AS hops, round(cost, 6) AS cost, round(days, 6) AS days, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 6) DESC, round(cost, 6), signature) AS BIGINT) AS place FROM (SELECT *, greatest(0.0e0, least(100.0e0, 40.0e0 * (1 - least(risk / hops, 1.0e0)) + 30.0e0 * (1 - least(cost / 50000, 1.0e0)) + 30.0e0 * (1 - least(days / 120, 1.0e0)))) AS score FROM ({RANKED.format(k='cost')}) p WHERE place <= 120) x WHERE hops <= 12 ORDER BY place LIMIT 5")
+
+# Paths of up to 12 hops are too many for recursive SQL; tests compare them with brute force on small graphs.
+for run in (shortest_path, k_shortest_paths, candidate_pool, dynamic_reroute, legacy_reroute, recommend):
+    catalog.register(run.__name__, run)
