@@ -13,3 +13,13 @@ def test_segments_hold_all_line_items_between_two_nations(spark, sf_dir):
     ends = [(a, b) for a, b in ends if a != b]
     found = query("SELECT from_id, to_id, sum(n) AS n FROM segments GROUP BY from_id, to_id")(spark, sf_dir).collect()
     assert {(r.from_id, r.to_id) for r in found} == set(ends) and sum(r.n for r in found) == len(ends)
+
+
+def test_route_risk_news_takes_all_articles(spark):
+    from tideway import catalog
+
+    big = "/root/testdata/sf0.01"  # more than 200 articles
+    found = {r.article_id for r in catalog.queries()["route_risk_news"](spark, big).collect()}
+    first = {r.to_id for r in query("SELECT DISTINCT to_id FROM route_segments WHERE sequence = 1")(spark, big).collect()}
+    ids = pq.read_table(f"{big}/documents.parquet", columns=["doc_id"])["doc_id"].to_pylist()
+    assert found == {i for i in ids if i % 25 in first} and max(found) >= 200

@@ -24,7 +24,7 @@ add("graph_totals", "SELECT a.nodes, b.edges FROM (SELECT CAST(count(*) AS BIGIN
 add("hash_diff_plan", "SELECT k, action FROM (SELECT coalesce(e.k, d.k) AS k, CASE WHEN e.k IS NULL THEN 'insert' WHEN d.k IS NULL AND e.active THEN 'deactivate' WHEN d.k IS NULL THEN 'keep' WHEN sha256(CAST(e.v AS STRING)) <> sha256(CAST(d.v AS STRING)) OR NOT e.active THEN 'update' ELSE 'keep' END AS action FROM existing e FULL OUTER JOIN desired d ON e.k = d.k) x WHERE action <> 'keep'")
 add("endpoint_weather_propagation", "SELECT s.segment_id, CASE WHEN a.wind100 IS NOT NULL AND b.wind100 IS NOT NULL THEN (4 * a.wind100 + 6 * b.wind100) / 1000.0e0 ELSE coalesce(a.wind100, b.wind100) / 100.0e0 END AS weather FROM segments s LEFT JOIN (SELECT point_id, max(wind100) AS wind100 FROM weather_hourly WHERE point_id % 4 <> 0 GROUP BY point_id) a ON s.from_id = a.point_id LEFT JOIN (SELECT point_id, max(wind100) AS wind100 FROM weather_hourly WHERE point_id % 4 <> 0 GROUP BY point_id) b ON s.to_id = b.point_id")
 add("traffic_exposure", "SELECT segment_id, 'endpoint' AS via FROM segments WHERE mode = 'sea' AND (from_id = 7 OR to_id = 7) UNION SELECT s.segment_id, 'zone' FROM segments s JOIN locations l ON s.to_id = l.location_id WHERE s.mode = 'sea' AND l.location_id % 6 = 0")
-add("route_risk_news", "SELECT r.route_id, a.article_id FROM route_segments r JOIN articles a ON a.article_id % 25 = r.to_id WHERE r.sequence = 1 AND a.article_id < 200")
+add("route_risk_news", "SELECT r.route_id, a.article_id FROM route_segments r JOIN articles a ON a.article_id % 25 = r.to_id WHERE r.sequence = 1")
 add("coordinate_cascade", "SELECT l.location_id, coalesce(x.lat, y.lat) AS lat, CASE WHEN x.lat IS NOT NULL THEN 'sourced' WHEN y.lat IS NOT NULL THEN 'estimated' ELSE 'unavailable' END AS status FROM locations l LEFT JOIN (SELECT location_id, lat FROM locations WHERE location_id % 3 <> 0) x ON l.location_id = x.location_id LEFT JOIN (SELECT region, CAST(sum(CAST(lat AS BIGINT)) AS DOUBLE) / count(*) AS lat FROM locations WHERE location_id % 3 <> 0 GROUP BY region) y ON l.region = y.region")
 add("alias_ownership", "SELECT alias, min(id) AS owner FROM (SELECT p_name AS alias, p_partkey AS id FROM part) x GROUP BY alias HAVING count(DISTINCT id) = 1")
 add("positional_hour_merge", "SELECT a.point_id, a.i, a.wind100, b.samples FROM (SELECT point_id, wind100, row_number() OVER (PARTITION BY point_id ORDER BY hour) AS i FROM weather_hourly) a LEFT JOIN (SELECT point_id, samples, row_number() OVER (PARTITION BY point_id ORDER BY hour DESC) AS i FROM weather_hourly) b ON a.point_id = b.point_id AND a.i = b.i WHERE a.i <= 24")
