@@ -33,3 +33,19 @@ def test_clip():
     lines = [(-5.0, 5.0, 15.0, 5.0), (20.0, 20.0, 30.0, 30.0), (5.0, 5.0, 5.0, 5.0), (1.0, -10.0, 1.0, 10.0)]
     pdf = pd.DataFrame([box | dict(zip(("lat1", "lng1", "lat2", "lng2"), x, strict=True)) for x in lines])
     assert clipped_km(pdf).ratio.tolist() == [0.5, 0.0, 1.0, 0.5]
+
+
+def test_jaccard_takes_all_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from tideway.functions.scalars import jaccard_similarity, tokens
+
+    cases = [("Port of Aden closed", "port OF aden, open", 0.6), ("one two two", "two one", 1.0), ("", "x", 0.0), (None, "one", 0.0), ("a b", "a b", 0.0), ("first middle last", "first other last", 0.5)]
+    rows = spark.createDataFrame([c[:2] for c in cases], "a string, b string").select(jaccard_similarity(tokens(F.col("a")), tokens(F.col("b"))).alias("s")).collect()
+    assert [r.s for r in rows] == [c[2] for c in cases]
+
+
+def test_jaccard_scores_pairs_that_are_not_neighbours(spark, sf_dir):
+    from tideway import catalog
+
+    assert any(r.b > r.a + 1 and 0.3 < r.similarity < 0.4 for r in catalog.queries()["jaccard"](spark, sf_dir).collect())

@@ -1,6 +1,10 @@
 """Scalar functions (section I): text, scores, weather curves, geometry, identifiers, tolerant parsing."""
 
-from tideway.sources.tables import add
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideway import catalog
+from tideway.sources.tables import add, read
 
 
 def curve(x: str, points: list[tuple[float, float]]) -> str:
@@ -29,9 +33,30 @@ def haversine(a: str, b: str, radius: float = 6371.0088) -> str:
     return f"2 * {radius}e0 * asin(sqrt(least(1.0e0, {h})))"
 
 
+def tokens(text: Column) -> Column:
+    """Distinct lower-cased runs of letters and digits, of two characters or more; null text has none."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 1))
+
+
+def jaccard_similarity(a: Column, b: Column) -> Column:
+    """Intersection over union of two token sets; 0 if either is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+
+
+def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity of every pair of part names; equal names are one, by their least key."""
+    names = read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k")).select("k", tokens(F.col("p_name")).alias("t"))
+    pairs = names.select(F.col("k").alias("a"), F.col("t").alias("x")).join(names.select(F.col("k").alias("b"), F.col("t").alias("y")), F.expr("a < b"))
+    return pairs.select("a", "b", F.round(jaccard_similarity(F.col("x"), F.col("y")), 9).alias("similarity"))
+
+
+TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 1))"
+JACCARD = f"""WITH names AS (SELECT min(p_partkey) AS k, {TOKENS.format(x='p_name')} AS t FROM part GROUP BY p_name)
+SELECT a.k AS a, b.k AS b, CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0 ELSE round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 9) END AS similarity FROM names a JOIN names b ON a.k < b.k"""
+
+catalog.register("jaccard", jaccard, JACCARD)
 add("canonical_url", "SELECT page_id, concat(lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+', 0)), regexp_replace(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '//+', '/'), '/$', '')) AS canonical FROM pages")
 add("title_tokens", "SELECT article_id, lower(regexp_extract(title, '[a-zA-Z]{2,}', 0)) AS first_token, length(title) AS size FROM articles")
-add("jaccard", "SELECT a.p_partkey AS a, b.p_partkey AS b, (CASE WHEN regexp_extract(a.p_name, '^[^ ]+', 0) = regexp_extract(b.p_name, '^[^ ]+', 0) THEN 1 ELSE 0 END + CASE WHEN regexp_extract(a.p_name, '[^ ]+$', 0) = regexp_extract(b.p_name, '[^ ]+$', 0) THEN 1 ELSE 0 END) / 4.0e0 AS lower_bound FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey")
 add("classify_text", "SELECT article_id, term, severity FROM (SELECT article_id, term, severity, row_number() OVER (PARTITION BY article_id ORDER BY severity DESC, priority) AS r FROM articles JOIN (SELECT 'the' AS term, 0.9e0 AS severity, 1 AS priority UNION ALL SELECT 'der', 0.8e0, 2 UNION ALL SELECT 'les', 0.8e0, 3 UNION ALL SELECT 'que', 0.7e0, 4) t ON concat(' ', lower(title), ' ') LIKE concat('% ', term, ' %')) x WHERE r = 1")
 add("parse_timestamp_multi", "SELECT o_orderkey, coalesce(try_cast(concat(regexp_extract(raw, '^([0-9]{4})', 1), '-', regexp_extract(raw, '^[0-9]{4}-?([0-9]{2})', 1), '-', regexp_extract(raw, '^[0-9]{4}-?[0-9]{2}-?([0-9]{2})', 1)) AS DATE), DATE '1900-01-01') AS d FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN concat(replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', ''), 'T000000Z') ELSE 'bad' END AS raw FROM orders) x")
 add("freshness_decay", "SELECT article_id, round(pow(0.5e0, greatest(0, 1000 - minute) / 1440.0e0), 9) AS weight FROM articles")
