@@ -49,3 +49,17 @@ def test_jaccard_scores_pairs_that_are_not_neighbours(spark, sf_dir):
     from tideway import catalog
 
     assert any(r.b > r.a + 1 and 0.3 < r.similarity < 0.4 for r in catalog.queries()["jaccard"](spark, sf_dir).collect())
+
+
+def test_titles_of_one_event(spark):
+    from tideway.operators.native import clusters, duplicate_pairs, prepared
+
+    base = "port of aden sees long queue of ships after storm on coast again"  # 12 different tokens
+    titles = [(1, base, 0), (2, base.upper() + "!", 2880), (3, base.replace("again", "today"), 5), (4, base + " today", 6), (5, base + " war", 7), (6, base, 9000), (7, "", 8), (8, None, 9), (9, "tsunami war", 10), (10, "war tsunami", 11)]
+    rows = spark.createDataFrame([(*t, f"h{t[0] % 6}") for t in titles], "article_id long, title string, minute long, body_hash string")
+    # 3 shares 11 of 13 tokens with 1, 4 has 12 of 13; the war makes 5 another category; 6 is too late
+    want = {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (7, 8), (9, 10)}
+    found = [(r.a, r.b) for r in duplicate_pairs(prepared(rows)).collect()]
+    assert sorted(found) == sorted(want)
+    parts = {r.article_id: r.cluster_id for r in clusters(rows.withColumn("body_hash", rows.article_id.cast("string"))).collect()}
+    assert parts == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9, 10: 9}

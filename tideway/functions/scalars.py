@@ -50,6 +50,37 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.round(jaccard_similarity(F.col("x"), F.col("y")), 9).alias("similarity"))
 
 
+#: Terms and severities of the event categories, in the order of priority.
+TERMS = {
+    "conflict": {"missile": 0.95, "attack": 0.92, "war": 0.92, "conflict": 0.82, "airstrike": 0.9, "strike": 0.72, "blockade": 0.86, "seized": 0.9, "closure": 0.78, "closed": 0.76},
+    "natural_disaster": {"typhoon": 0.82, "cyclone": 0.82, "hurricane": 0.84, "earthquake": 0.86, "tsunami": 0.94, "flood": 0.72, "landslide": 0.72, "volcanic": 0.78},
+    "transport_accident": {"collision": 0.75, "grounding": 0.78, "derailment": 0.82, "crash": 0.82, "accident": 0.62, "explosion": 0.84, "fire": 0.68},
+    "port_disruption": {"port closure": 0.82, "port congestion": 0.66, "congestion": 0.55, "shipping disruption": 0.72, "logistics disruption": 0.68, "terminal closure": 0.8, "channel blocked": 0.84},
+    "strike": {"labor strike": 0.72, "dockworker strike": 0.78, "port strike": 0.78, "walkout": 0.68, "industrial action": 0.66},
+    "sanction": {"sanction": 0.78, "sanctions": 0.78, "embargo": 0.82, "blacklist": 0.74, "export ban": 0.76},
+    "trade_policy": {"trade restriction": 0.65, "trade policy": 0.55, "export control": 0.68, "import restriction": 0.62, "quota": 0.48},
+    "tariff": {"tariff": 0.55, "tariffs": 0.55, "duty": 0.52, "duties": 0.52, "customs levy": 0.55},
+    "customs_delay": {"customs delay": 0.58, "border delay": 0.58, "clearance delay": 0.56, "inspection backlog": 0.6, "customs backlog": 0.62},
+}
+
+
+def _cases() -> list[tuple[str, str, float]]:
+    """(pattern of whole words, category, severity), the most severe first and then by priority."""
+    found = sorted((-x, k, c, t) for k, (c, ts) in enumerate(TERMS.items()) for t, x in ts.items())
+    return [(rf"(^|[^\p{{L}}\p{{N}}_]){t}($|[^\p{{L}}\p{{N}}_])", c, -x) for x, _, c, t in found]
+
+
+def category(text: Column) -> Column:
+    """(event_category, severity) of a text: of its most severe term; other, 0.25 without one."""
+    label = lambda c, x: F.struct(F.lit(c).alias("event_category"), F.lit(x).alias("severity"))
+    return F.coalesce(*[F.when(F.lower(text).rlike(p), label(c, x)) for p, c, x in _cases()], label("other", 0.25))
+
+
+def category_sql(text: str, of: int) -> str:
+    """DuckDB's text for the category (1) or severity (2)."""
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({text}), '{c[0]}') THEN {c[of]!r}" for c in _cases()) + f" ELSE {('other', 0.25)[of - 1]!r} END"
+
+
 TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 1))"
 JACCARD = f"""WITH names AS (SELECT min(p_partkey) AS k, {TOKENS.format(x='p_name')} AS t FROM part GROUP BY p_name)
 SELECT a.k AS a, b.k AS b, CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0 ELSE round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 9) END AS similarity FROM names a JOIN names b ON a.k < b.k"""

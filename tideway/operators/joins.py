@@ -15,7 +15,6 @@ add("missing_canonical_edge", "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (
 add("orphan_nodes", "SELECT location_id FROM locations WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.from_id = location_id) AND NOT EXISTS (SELECT 1 FROM segments s WHERE s.to_id = location_id AND s.mode = 'air')")
 add("bbox_range_join", "SELECT event_id, target_id FROM positions JOIN targets ON lat BETWEEN south AND north AND lng BETWEEN west AND east")
 add("asof_nearest_hour", "SELECT event_id, hour FROM (SELECT e.event_id, w.hour, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(floor(epoch(e.ts)) - floor(epoch(w.hour))), w.hour) AS r FROM events e JOIN weather_hourly w ON w.point_id = e.user_id % 25 AND CAST(w.hour AS DATE) BETWEEN CAST(e.ts AS DATE) - 1 AND CAST(e.ts AS DATE) + 1) x WHERE r = 1")
-add("near_duplicate_pairs", "SELECT a.article_id AS a, b.article_id AS b FROM articles a JOIN articles b ON lower(a.title) = lower(b.title) AND a.article_id < b.article_id AND b.minute - a.minute <= 2880")
 add("node_match_exact_or_partial", "SELECT location_id FROM (SELECT location_id, CASE WHEN lower(name) = 'nation_1' THEN 1 ELSE 0 END AS exact, max(CASE WHEN lower(name) = 'nation_1' THEN 1 ELSE 0 END) OVER () AS any_exact FROM locations WHERE lower(name) LIKE '%nation_1%') x WHERE exact = any_exact")
 add("location_priority_lookup", "SELECT location_id, priority FROM (SELECT *, row_number() OVER (ORDER BY priority, location_id) AS r FROM (SELECT location_id, 0 AS priority FROM locations WHERE code = 'LOC-7' UNION ALL SELECT location_id, 1 FROM locations WHERE name = 'NATION_7' UNION ALL SELECT location_id, 3 FROM locations WHERE name LIKE '%7%') x) y WHERE r = 1")
 add("supplier_origin_overlap", "SELECT DISTINCT f.supplier_id, s.from_id FROM suppliers_from f JOIN segments s ON f.origin_id = s.from_id")

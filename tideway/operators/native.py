@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideway import catalog
+from tideway.functions.scalars import TOKENS, category, category_sql, jaccard_similarity, tokens
 from tideway.sources.tables import expanded, query, read
 
 
@@ -50,17 +51,64 @@ REACH = """WITH RECURSIVE pairs AS (SELECT DISTINCT from_id AS a, to_id AS b FRO
 SELECT component, CAST(count(*) AS BIGINT) AS size FROM (SELECT a, min(b) AS component FROM reach GROUP BY a) x GROUP BY component"""
 
 
-def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with the same title within 48 hours, or the same body, joined into clusters; a cluster's id is its
-    smallest article."""
-    rows = query("SELECT article_id, lower(title) AS title, sha256(body) AS body_hash, minute FROM articles")(spark, sf_dir)
+#: Titles of one event: so many minutes apart at most, and so alike in hundredths.
+BAND, ALIKE = 2880, 82
+
+
+def prepared(articles: DataFrame) -> DataFrame:
+    """(article_id, minute, category, norm, t): the normalised title and its token set."""
+    norm = F.array_join(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != ""), " ")
+    return articles.select("article_id", "minute", category(F.coalesce("title", F.lit("")))["event_category"].alias("category"), norm.alias("norm"), tokens(F.col("title")).alias("t"))
+
+
+def similar_titles(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of one category inside BAND with different titles and a token Jaccard of ALIKE or more.
+
+    Two such sets share one among their first n - ceil(0.82 n) + 1 tokens, from the rarest to the most common.
+    """
+    counts = rows.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    ranked = rows.select("article_id", F.explode("t").alias("token")).join(counts, "token").groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("r"))
+    size = F.size("r")
+    first = F.slice("r", F.lit(1), (size - F.floor((size * ALIKE + 99) / 100) + 1).cast("int"))
+    spread = rows.join(ranked.select("article_id", F.explode(first).alias("x")), "article_id").withColumn("token", F.col("x.token"))
+    x, y = spread.alias("x"), spread.alias("y")
+    near = F.expr(f"x.token = y.token and x.category = y.category and x.article_id < y.article_id and abs(x.minute - y.minute) <= {BAND} and x.norm <> y.norm")
+    both, union = F.size(F.array_intersect("x.t", "y.t")), F.size(F.array_union("x.t", "y.t"))
+    return x.join(y, near).filter(100 * both >= ALIKE * union).select(F.col("x.article_id").alias("a"), F.col("y.article_id").alias("b")).distinct()
+
+
+def duplicate_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of one category inside BAND with equal or similar titles."""
+    x, y = rows.alias("x"), rows.alias("y")
+    same = x.join(y, F.expr(f"x.norm = y.norm and x.category = y.category and x.article_id < y.article_id and abs(x.minute - y.minute) <= {BAND}"))
+    return same.select(F.col("x.article_id").alias("a"), F.col("y.article_id").alias("b")).union(similar_titles(rows))
+
+
+def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_pairs(prepared(query("SELECT article_id, title, minute FROM articles")(spark, sf_dir)))
+
+
+PAIRS = f"""WITH n AS (SELECT article_id, minute, {category_sql("coalesce(title, '')", 1)} AS category,
+  array_to_string(list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''), ' ') AS norm, {TOKENS.format(x='title')} AS t FROM articles)
+SELECT x.article_id AS a, y.article_id AS b FROM n x JOIN n y ON x.category = y.category AND x.article_id < y.article_id AND abs(x.minute - y.minute) <= {BAND}
+WHERE x.norm = y.norm OR len(x.t) > 0 AND len(y.t) > 0 AND 100 * len(list_intersect(x.t, y.t)) >= {ALIKE} * len(list_distinct(list_concat(x.t, y.t)))"""
+
+
+def clusters(articles: DataFrame) -> DataFrame:
+    """Articles (article_id, title, body_hash, minute) with equal or similar titles of one category within 48 hours, or
+    the same body, joined into clusters; a cluster's id is its smallest article."""
+    rows = prepared(articles)
     # The neighbour in order is enough: links are transitive inside a cluster, so no group is joined to itself.
-    by = lambda key: F.lag("article_id").over(Window.partitionBy(key).orderBy("minute", "article_id"))
-    before = lambda key: F.lag("minute").over(Window.partitionBy(key).orderBy("minute", "article_id"))
-    titles = rows.select(F.col("article_id").alias("a"), by("title").alias("b"), (F.col("minute") - before("title")).alias("gap")).filter("b is not null and gap <= 2880").select("a", "b")
-    bodies = rows.select(F.col("article_id").alias("a"), by("body_hash").alias("b")).filter("b is not null")
-    found = components(titles.union(bodies))
-    return rows.join(found, rows.article_id == found.node, "left").select("article_id", F.coalesce("component", "article_id").alias("cluster_id"))
+    by = lambda c, *key: F.lag(c).over(Window.partitionBy(*key).orderBy("minute", "article_id"))
+    title = ("norm", "category")
+    titles = rows.select(F.col("article_id").alias("a"), by("article_id", *title).alias("b"), (F.col("minute") - by("minute", *title)).alias("gap")).filter(f"b is not null and gap <= {BAND}").select("a", "b")
+    bodies = articles.select(F.col("article_id").alias("a"), by("article_id", "body_hash").alias("b")).filter("b is not null")
+    found = components(titles.union(bodies).union(similar_titles(rows)))
+    return articles.join(found, articles.article_id == found.node, "left").select("article_id", F.coalesce("component", "article_id").alias("cluster_id"))
+
+
+def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(query("SELECT article_id, title, sha256(body) AS body_hash, minute FROM articles")(spark, sf_dir))
 
 
 def blocked_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +176,7 @@ def spatial_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 catalog.register("component_sizes", component_sizes, expanded(REACH))
+catalog.register("near_duplicate_pairs", near_duplicate_pairs, expanded(PAIRS))
 catalog.register("event_clusters", event_clusters)
 catalog.register("blocked_closure", blocked_closure, expanded(CLOSURE))
 catalog.register("clean_text", cleaned)
