@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.llm.common import joined_small, table, utf8, written
+from tideway.llm.common import joined_small, released, runs, small_batches, table, utf8, written
 from tideway.llm.components import components
 from tideway.llm.shingles import shingle_sets
 
@@ -31,8 +31,10 @@ SHINGLE = 5
 #: A shingle counts as heavy from so many documents on (counted in tasks that saw it in LOCAL documents at least);
 #: at most HEAVY_LIST of them, the heaviest, are put last in the order.  12 bytes each are broadcast.
 HEAVY, LOCAL, HEAVY_LIST = 12, 3, 1 << 20
+#: Shingles that a task counts before it tells their numbers.
+COUNTED = 3_000_000
 #: Prefix shingles in one bucket of the meeting step, on average, and texts in one block of a comparison.
-BUCKET, MEMBERS = 1_500_000, 128
+BUCKET, MEMBERS = 400_000, 128
 BROADCAST_ROWS = 400_000
 #: Shingles in one block of texts, and columns of one matrix product.
 BLOCK_SHINGLES, COLUMNS = 400_000, 4096
@@ -58,23 +60,28 @@ def heavy_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["shingle", "n"])
 
         for b in batches:
-            texts = []
-            for t in b.column(0).to_pylist():
-                t = t.lower()
-                if (key := blake2b(t, digest_size=8).digest()) not in seen:
-                    seen.add(key)
-                    texts.append(t)
-            for s in shingle_sets(texts, SHINGLE):
-                held.append(s)
-                size += len(s)
-                if size > 8_000_000:
+            bodies = b.column(0).to_pylist()
+            for at, end in runs(bodies):
+                texts = []
+                for t in bodies[at:end]:
+                    t = t.lower()
+                    if (key := blake2b(t, digest_size=8).digest()) not in seen:
+                        seen.add(key)
+                        texts.append(t)
+                for s in shingle_sets(texts, SHINGLE):
+                    held.append(s)
+                    size += len(s)
+                if size > COUNTED:
                     yield told()
                     seen, held, size = set(), [], 0
         if held:
             yield told()
+        held = []
+        released()
 
     counts = rows.select("body").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY)
-    top = counts.orderBy(F.desc("n"), "shingle").limit(HEAVY_LIST).toArrow()
+    with small_batches(rows.sparkSession):
+        top = counts.orderBy(F.desc("n"), "shingle").limit(HEAVY_LIST).toArrow()
     shingles = top["shingle"].to_numpy().view(np.uint64)
     ranks = np.arange(len(shingles), 0, -1, dtype=np.uint32)  # the heaviest comes last
     order = np.argsort(shingles)
@@ -89,12 +96,7 @@ def signatures(rows: DataFrame) -> DataFrame:
         shingles, ranks = heavy.value
         for b in batches:
             bodies = b.column(1).to_pylist()
-            at = 0
-            while at < len(bodies):
-                size, end = 0, at
-                while end < len(bodies) and size < 4 << 20:
-                    size += len(bodies[end])
-                    end += 1
+            for at, end in runs(bodies):
                 texts = [t.lower() for t in bodies[at:end]]
                 sizes, keys, groups, prefixes = [], [], [], []
                 for t, s in zip(texts, shingle_sets(texts, SHINGLE), strict=True):
@@ -117,7 +119,7 @@ def signatures(rows: DataFrame) -> DataFrame:
                     [b.column(0).slice(at, end - at), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.binary())],
                     ["id", "n", "text_key", "group_key", "prefix"],
                 )
-                at = end
+        released()
 
     return rows.mapInArrow(sign, "id long, n long, text_key binary, group_key long, prefix binary")
 
@@ -154,18 +156,20 @@ def meetings(signed: DataFrame, buckets: int) -> DataFrame:
 
     def meet(t: pa.Table) -> pa.Table:
         s, g, n, p = [], [], [], []
-        for _, a, o, gs, ns, ps in zip(*(c.to_pylist() for c in t.columns), strict=True):
-            o = np.frombuffer(o, np.int32)
-            s.append(np.frombuffer(a, np.uint64))
-            g.append(np.frombuffer(gs, np.int64)[o])
-            n.append(np.frombuffer(ns, np.int32)[o])
-            p.append(np.frombuffer(ps, np.uint16))
-        s, g, n, p = np.concatenate(s), np.concatenate(g), np.concatenate(n), np.concatenate(p)
-        order = np.argsort(s, kind="stable")
-        s, g, n, p = s[order], g[order], n[order], p[order]
-        new = np.flatnonzero(np.diff(s, prepend=~s[:1]))
-        many = np.repeat(np.diff(np.append(new, len(s))) > 1, np.diff(np.append(new, len(s))))  # most are alone
-        s, g, n, p = s[many], g[many], n[many], p[many]
+        for b in t.to_batches():
+            for a, o, gs, ns, ps in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                o = np.frombuffer(o, np.int32)
+                s.append(np.frombuffer(a, np.uint64))
+                g.append(np.frombuffer(gs, np.int64)[o])
+                n.append(np.frombuffer(ns, np.int32)[o])
+                p.append(np.frombuffer(ps, np.uint16))
+        every = np.concatenate(s)
+        s = np.sort(every)
+        many = np.unique(s[1:][s[1:] == s[:-1]])  # most are alone
+        at = np.minimum(np.searchsorted(many, every), max(0, len(many) - 1))
+        met = many[at] == every if len(many) else np.zeros(len(every), bool)
+        s, g, n, p = every[met], np.concatenate(g)[met], np.concatenate(n)[met], np.concatenate(p)[met]
+        del every, at, met
         order = np.lexsort((g, n, s))
         s, g, n, p = s[order], g[order], n[order], p[order]
         same = (s[1:] == s[:-1]) & (g[1:] == g[:-1])
@@ -175,14 +179,16 @@ def meetings(signed: DataFrame, buckets: int) -> DataFrame:
             new = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
             count = np.diff(np.append(new, len(s)))
             head = np.repeat(new, count)
-            many = np.repeat(count > 1, count)
+            several = np.repeat(count > 1, count)
             before = np.maximum(np.arange(len(s)) - 1, head)
             fits = lambda at: 5 * n[at].astype(np.int64) >= 4 * n.astype(np.int64)
             near, first = np.where(fits(before), g[before], g), np.where(fits(head), g[head], g)
-            s, g, n, p, near, first = s[many], g[many], n[many], p[many], near[many], first[many]
+            s, g, n, p, near, first = s[several], g[several], n[several], p[several], near[several], first[several]
         else:
             near = first = g
-        return pa.Table.from_arrays([pa.array(s.view(np.int64)), pa.array(g), pa.array(n.astype(np.int64)), pa.array(p.astype(np.int64)), pa.array(near), pa.array(first)], ["shingle", "group_key", "n", "pos", "near", "first"])
+        out = pa.Table.from_arrays([pa.array(s.view(np.int64)), pa.array(g), pa.array(n.astype(np.int64)), pa.array(p.astype(np.int64)), pa.array(near), pa.array(first)], ["shingle", "group_key", "n", "pos", "near", "first"])
+        released()
+        return out
 
     dealt = signed.select("group_key", "n", "prefix").mapInArrow(deal, "bucket int, s binary, o binary, g binary, n binary, p binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "shingle long, group_key long, n long, pos long, near long, first long")
@@ -360,6 +366,7 @@ def links_by_block(rows: DataFrame, placed: DataFrame, pairs: DataFrame) -> Data
                 held.append(b.slice(at, end - at))
         if held:
             yield told(pa.Table.from_batches(held))
+        released()
 
     return dealt.mapInArrow(compare, "a long, b long")
 
