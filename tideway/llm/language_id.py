@@ -14,13 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.llm.common import table, tokenizer_path
 
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters, and also numbers such as a half or a circled one, which only a slower pattern tells apart.
+LETTERS_AND_NUMBERS, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 #: Runs of letters longer than this are scored in parts, which keeps products within a double.
 LONGEST = 40
 #: Chance of a character that no piece covers, the same in every language, and of a piece a language has not shown.
@@ -128,7 +130,9 @@ class LanguageModel:
 
 
 def words_of(text: str | None) -> list[str]:
-    found = LETTERS.findall(text.lower()) if text else []
+    found = LETTERS_AND_NUMBERS.findall(text.lower()) if text else []
+    if found and not "".join(found).isalpha():
+        found = [x for w in found for x in LETTERS.findall(w)]
     if any(len(w) > LONGEST for w in found):
         found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
     return found
