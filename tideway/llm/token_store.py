@@ -30,7 +30,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideway.llm.common import fresh_dir, table, tokenizer_path, utf8, written
+from tideway.llm.common import by_file, fresh_dir, table, tokenizer_path, utf8, written
 from tideway.llm.token_counts import word_table
 
 PACK, RECIPE = b"TWPACK1\n", b"TWRECP1\n"
@@ -163,7 +163,8 @@ def recipe_entries(uri: str) -> Iterator[tuple[int | None, int, list[bytes], byt
 
 
 def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """Encode ``docs`` and write the store to ``folder``; returns the manifest (kind, part, seq, uri, entries, root).
+    """Encode ``docs`` and write the store to ``folder``; returns the manifest (kind, part, seq, uri, entries, root,
+    width: the bytes of an id in packs).
 
     Null text counts as empty: the stream is the end id alone.  Null doc_ids come first, equal doc_ids stay separate
     documents ordered by recipe; an empty table gives an empty manifest; other columns are not read.
@@ -171,10 +172,11 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("body"))
     rows = base.count()
+    # A range's recipes are a few hundred bytes a document and one task's; its file goes on in another one at 64 MB.
     ranges = min(4096, max(8, rows // 20_000))
     marks = [k / ranges for k in range(1, ranges)]
     splits = sorted(set(base.select(F.percentile_approx("id", F.array(*map(F.lit, marks)), F.lit(10_000))).first()[0] or []))
-    shards = shards or max(16, min(4096, rows // 8_000))
+    shards = shards or max(16, rows // 8_000)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_table(path)
@@ -199,7 +201,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col
                             seen.clear()
                         seen.add(address)
                         size += len(chunk)
-                        for column, v in zip(out, (int.from_bytes(address[:4], "big") % shards, 0, None, None, address, chunk), strict=True):
+                        for column, v in zip(out, (int.from_bytes(address[:4], "big") % shards, 0, None, width, address, chunk), strict=True):
                             column.append(v)
                 part = shards + (0 if doc is None else int(np.searchsorted(splits, doc, side="right")))
                 for column, v in zip(out, (part, 1, doc, at, merkle(found), b"".join(found)), strict=True):
@@ -210,11 +212,11 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, writer, leaves, last, seq = None, None, [], None, 0
+        now, writer, leaves, last, seq, width = None, None, [], None, 0, None
 
         def closed() -> pa.RecordBatch:
             done = pa.RecordBatch.from_pydict(
-                {"kind": pa.array([now[1]], pa.int8()), "part": pa.array([now[0]], pa.int32()), "seq": pa.array([seq], pa.int32()), "uri": [writer.close()], "entries": pa.array([writer.entries], pa.int64()), "root": pa.array([merkle(leaves)], pa.binary())}
+                {"kind": pa.array([now[1]], pa.int8()), "part": pa.array([now[0]], pa.int32()), "seq": pa.array([seq], pa.int32()), "uri": [writer.close()], "entries": pa.array([writer.entries], pa.int64()), "root": pa.array([merkle(leaves)], pa.binary()), "width": pa.array([width], pa.int64())}
             )
             leaves.clear()
             return done
@@ -226,6 +228,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col
                         yield closed()
                     seq = seq + 1 if (part, kind) == now else 0
                     now, writer = (part, kind), BlockWriter(folder, RECIPE if kind else PACK)
+                width = None if kind else n
                 if kind:
                     writer.add(struct.pack("<BqqI", doc is not None, doc or 0, n, len(data) // ADDRESS) + address + data)
                 elif address != last:
@@ -241,7 +244,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_col
         base.mapInArrow(encode, "part int, kind byte, doc long, n long, address binary, data binary")
         .repartition(max(16, (shards + ranges) // 4), "part")
         .sortWithinPartitions("part", "kind", "doc", "address", "data")
-        .mapInArrow(write, "kind byte, part int, seq int, uri string, entries long, root binary")
+        .mapInArrow(write, "kind byte, part int, seq int, uri string, entries long, root binary, width long")
     )
     return written(manifest, "manifest")
 
@@ -266,18 +269,16 @@ def read_recipes(manifest: DataFrame) -> DataFrame:
                     }
                 )
 
-    files = manifest.filter("kind = 1").select("part", "seq", "uri", "root").repartition("uri")
-    return files.mapInArrow(read, "part int, seq int, pos long, doc_id long, n_tokens long, addresses array<binary>")
+    files = manifest.filter("kind = 1").select("part", "seq", "uri", "root")
+    return by_file(files).mapInArrow(read, "part int, seq int, pos long, doc_id long, n_tokens long, addresses array<binary>")
 
 
-def read_chunks(manifest: DataFrame, vocabulary_wide: bool = False, contents: bool = False) -> DataFrame:
+def read_chunks(manifest: DataFrame, contents: bool = False) -> DataFrame:
     """(address, n_ids, crc32 of the ids as unsigned 32-bit, and with ``contents`` the ids) of every stored chunk."""
-    kind = np.uint32 if vocabulary_wide else np.uint16
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri, root in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                leaves, rows = [], []
+            for uri, root, width in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                leaves, rows, kind = [], [], np.dtype(f"<u{width}")
 
                 def made(rows: list) -> pa.RecordBatch:
                     cols = {"address": pa.array([r[0] for r in rows], pa.binary()), "n_ids": pa.array([len(r[1]) for r in rows], pa.int64())}
@@ -297,8 +298,8 @@ def read_chunks(manifest: DataFrame, vocabulary_wide: bool = False, contents: bo
                 if rows:
                     yield made(rows)
 
-    files = manifest.filter("kind = 0").select("uri", "root").repartition("uri")
-    return files.mapInArrow(read, "address binary, n_ids long, crc long" + ", ids array<int>" * contents)
+    files = manifest.filter("kind = 0").select("uri", "root", "width")
+    return by_file(files).mapInArrow(read, "address binary, n_ids long, crc long" + ", ids array<int>" * contents)
 
 
 class CrcShift:
@@ -353,9 +354,9 @@ def read_summary(manifest: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([c[0] for c in crcs], pa.int64()), pa.array([c[1] for c in crcs], pa.int64())], ["part", "seq", "pos", "ids_crc32", "n_read"])
 
     sums = listed.select("part", "seq", "pos", "chunks").mapInArrow(combine, "part int, seq int, pos long, ids_crc32 long, n_read long")
-    by_file = recipes.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
+    files = recipes.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
-    starts = by_file.select("part", "seq", F.coalesce(before, F.lit(0)).alias("base"))
+    starts = files.select("part", "seq", F.coalesce(before, F.lit(0)).alias("base"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part", "seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     return (
         recipes.select("part", "seq", "pos", "doc_id", "n_tokens", F.coalesce(inside, F.lit(0)).alias("inside"))
@@ -365,10 +366,10 @@ def read_summary(manifest: DataFrame) -> DataFrame:
     )
 
 
-def read_documents(manifest: DataFrame, vocabulary_wide: bool = False) -> DataFrame:
+def read_documents(manifest: DataFrame) -> DataFrame:
     """(doc_id, ids) of every document, rebuilt from its recipe and the packs."""
     recipes = read_recipes(manifest)
-    chunks = read_chunks(manifest, vocabulary_wide, contents=True).select("address", "ids")
+    chunks = read_chunks(manifest, contents=True).select("address", "ids")
     parts = recipes.select("part", "seq", "pos", "doc_id", F.posexplode("addresses").alias("k", "address")).join(chunks.hint("merge"), "address")
     whole = parts.groupBy("part", "seq", "pos", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("chunks"))
     return whole.select("doc_id", F.flatten(F.col("chunks.ids")).alias("ids"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.llm.common import fresh_dir, joined_small, table, utf8, written
+from tideway.llm.common import by_file, fresh_dir, joined_small, table, utf8, written
 from tideway.llm.token_store import opened
 
 #: The fields of a header line by ARC version.
@@ -187,12 +187,13 @@ def write_pages(pages: DataFrame, folder: str, date: str = "20240101000000", rev
     """
     body = utf8(html_col)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.concat(F.lit("urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("url"), body.alias("body"), F.sha1(body).alias("digest"))
+    key = F.coalesce(F.col("id").cast("string"), F.lit(""))  # no id reads like a null one
     sums = rows.filter(F.octet_length("body") >= revisit_from).select("id", "url", "digest")
     firsts = sums.groupBy("digest").agg(F.min("id").alias("first"), F.min_by("url", "id").alias("first_url"), F.count("*").alias("n")).filter("n > 1 and first is not null")
     again = written(
-        sums.join(firsts, "digest").filter("not (id <=> first)").select(F.coalesce("id", F.lit(-1)).alias("key"), "digest", "first", "first_url").dropDuplicates(["key", "digest"]), "revisits"
+        sums.join(firsts, "digest").filter("not (id <=> first)").select(key.alias("key"), "digest", "first", "first_url").dropDuplicates(["key", "digest"]), "revisits"
     )
-    dealt = joined_small(rows.withColumn("key", F.coalesce("id", F.lit(-1))), again, ["key", "digest"], "left", again.count(), BROADCAST_REVISITS).select("id", "url", "body", "first", "first_url")
+    dealt = joined_small(rows.withColumn("key", key), again, ["key", "digest"], "left", again.count(), BROADCAST_REVISITS).select("id", "url", "body", "first", "first_url")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = uri = None
@@ -269,7 +270,7 @@ def read_pages(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"{uri} has {seen} records, the manifest {n}")
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
 
-    return manifest.select("uri", "records").repartition("uri").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return by_file(manifest.select("uri", "records")).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def convert_arcs(files: DataFrame, folder: str) -> DataFrame:
