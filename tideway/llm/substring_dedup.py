@@ -1,69 +1,171 @@
 """Substring dedup: remove every word covered by a window of words that also starts in a document with a smaller id.
 
-The corpus is its own reference here, so automata of its shards would be as large as the corpus and no bound on a
-broadcast of them could be kept (README has the figures).  Windows meet through a distributed index instead:
+Passages stream through suffix automata of reference shards.  A state of an automaton stands for word sequences that
+occur at the same places, and holds the smallest document among them, so the matching statistics of a passage, cut to
+the window's length, say of each window whether a smaller document has it; runs of such windows are maximal spans.
 
 1. Equal texts: all but the smallest id's lose every word, without further work.
 2. Anchors.  A window's anchor is the least hash of its five-word shingles, so equal windows have equal anchors, and
-   overlapping windows mostly share theirs: about one anchor for five words.  Anchors found in two documents or more
-   mark the places that can repeat; all else is settled.
-3. The windows with such an anchor meet by their own 64-bit hash, which gives each the smallest document that has it.
-4. Documents with windows to remove are read once more and the covered words dropped.
-
-Hashes cross the network as packed arrays.  A batch sends one entry for a hash however many of its documents have it,
-and settles the others itself, so a passage in a third of all documents costs one entry for each batch.
+   overlapping windows mostly share theirs: about one anchor for five words.  Only passages (runs of windows) with an
+   anchor that two documents or more have can repeat; all else is settled.
+3. The passages that recur most are one reference shard, of at most HOT_WORDS words.  Its automaton is broadcast: copies
+   of hot passages, however many, are settled where they are.
+4. The corpus is its own reference, so the other shards have no bound together and aren't broadcast: passages go to the
+   shard of their anchor, whose automaton is built there, of about SHARD_WORDS words of distinct passages at a time.
+   Should the passages of one anchor have more than that, their windows go on one by one, each to its own place.
+5. Documents with spans to remove are read once more and the covered words dropped.
+
+Words are 64-bit hashes; a wrong match takes two words of one hash between the same other words.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.llm.common import joined_small, table, utf8, written
+from tideway.llm.common import joined_small, released, runs, small_batches, table, utf8, written
 from tideway.llm.shingles import windows, words_hashed
 
 ANCHOR = 5
-#: Hashes in one bucket of a meeting, on average.
-BUCKET = 1_500_000
+#: Anchors in one bucket of their meeting, on average.
+BUCKET = 500_000
 #: Ids that may be broadcast, 8 bytes each; more go through a shuffle join.
 BROADCAST_IDS = 1_000_000
-BATCH_BYTES = 24 << 20
+#: Texts whose passages a task settles among themselves before it sends them.
+BATCH_BYTES = 16 << 20
+#: The broadcast shard: passages that HOT batches or more have, of up to HOT_LENGTH words each and HOT_WORDS together.
+HOT, HOT_LENGTH, HOT_WORDS = 8, 256, 60_000
+#: Words of the automaton of a shard, and bytes of passages in one task, on average.
+SHARD_WORDS, TASK_BYTES = 100_000, 16 << 20
+#: A text that so many rows or more have, and one in HOT_TEXTS of all copies, is joined by broadcast: at most HOT_TEXTS.
+COPIES, HOT_TEXTS = 5_000, 100_000
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def window_hashes(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text (anchor, hash) of its windows from left to right."""
-    words, sizes = words_hashed(texts)
-    every, small = windows(words, size), windows(words, ANCHOR)
-    least = small[: len(every)].copy()
+class Automaton:
+    """Suffix automaton of word sequences, each of a document; a state knows the smallest document of its sequences."""
+
+    def __init__(self, passages: Iterator[tuple[list[int], int]]):
+        self.next, self.link, self.length, self.least = [{}], [-1], [0], [1 << 63]
+        for words, ident in passages:
+            self.add(words, ident)
+        for v in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
+            up = self.link[v]
+            if self.least[v] < self.least[up]:
+                self.least[up] = self.least[v]
+
+    def split(self, p: int, word: int) -> int:
+        """The state behind ``word`` from ``p``, made one of its own if it stands for longer sequences as well."""
+        q = self.next[p][word]
+        if self.length[q] == self.length[p] + 1:
+            return q
+        clone = len(self.link)
+        self.next.append(dict(self.next[q]))
+        self.link.append(self.link[q])
+        self.length.append(self.length[p] + 1)
+        self.least.append(1 << 63)
+        self.link[q] = clone
+        while p >= 0 and self.next[p].get(word) == q:
+            self.next[p][word] = clone
+            p = self.link[p]
+        return clone
+
+    def add(self, words: list[int], ident: int) -> None:
+        nxt, link, length, least = self.next, self.link, self.length, self.least
+        last = 0
+        for w in words:
+            if w in nxt[last]:
+                last = self.split(last, w)
+            else:
+                now = len(link)
+                nxt.append({})
+                length.append(length[last] + 1)
+                link.append(0)
+                least.append(1 << 63)
+                p = last
+                while p >= 0 and w not in nxt[p]:
+                    nxt[p][w] = now
+                    p = link[p]
+                if p >= 0:
+                    link[now] = self.split(p, w)
+                last = now
+            if ident < least[last]:
+                least[last] = ident
+
+    def spans(self, words: list[int], ident: int, size: int) -> tuple[list[tuple[int, int]], int]:
+        """Maximal (first, end) of the words covered by windows that a document smaller than ``ident`` has here, and the
+        number of these windows."""
+        nxt, link, length, least = self.next, self.link, self.length, self.least
+        found: list[tuple[int, int]] = []
+        state = match = count = 0
+        for at, w in enumerate(words, 1):
+            while state and w not in nxt[state]:
+                state = link[state]
+                match = length[state]
+            state = nxt[state].get(w, 0)
+            match = match + 1 if state else 0
+            if match >= size:
+                match = size
+                while length[link[state]] >= size:
+                    state = link[state]
+                if least[state] < ident:
+                    first = at - size
+                    count += 1
+                    if found and found[-1][1] >= first:
+                        found[-1] = (found[-1][0], at)
+                    else:
+                        found.append((first, at))
+        return found, count
+
+
+def window_anchors(words: np.ndarray, size: int) -> np.ndarray:
+    """The anchor of the window from each word on, over all texts on end."""
+    n, small = max(0, len(words) - size + 1), windows(words, ANCHOR)
+    least = small[:n].copy()
     for j in range(1, size - ANCHOR + 1):
-        np.minimum(least, small[j : j + len(every)], out=least)
-    at = 0
-    for n in sizes.tolist():
-        end = at + max(0, n - size + 1)
-        yield least[at:end], every[at:end]
-        at += n
+        np.minimum(least, small[j : j + n], out=least)
+    return least
+
 
+def anchors(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """The distinct anchors of each text."""
+    words, sizes = words_hashed(texts)
+    least, ends = window_anchors(words, size), np.cumsum(sizes)
+    return [np.unique(least[e - n : max(e - n, e - size + 1)]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
-def settled(ids: np.ndarray, hashes: np.ndarray, first_too: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, head, flagged) of entries sorted by (hash, id) without repeats: heads stand for their hash, flagged ones
-    have a smaller id beside them; with ``first_too`` a head is flagged if it isn't alone."""
+
+def passages(texts: list[bytes], shared: np.ndarray, size: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(text, first word, anchor, packed words) of each run of windows with one anchor that is ``shared`` (sorted)."""
+    words, sizes = words_hashed(texts)
+    least, ends = window_anchors(words, size), np.cumsum(sizes)
+    if not len(least) or not len(shared):
+        return
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(least)]
+    place = np.arange(len(least))
+    inside = place + size <= ends[owner]
+    at = np.minimum(np.searchsorted(shared, least), len(shared) - 1)
+    hit = inside & (shared[at] == least)
+    go_on = hit[1:] & hit[:-1] & (least[1:] == least[:-1]) & (owner[1:] == owner[:-1])
+    first = np.flatnonzero(hit & np.append(True, ~go_on))
+    last = np.flatnonzero(hit & np.append(~go_on, True))
+    start = (first - (ends - sizes)[owner[first]]).tolist()
+    for t, s, key, a, e in zip(owner[first].tolist(), start, least[first].view(np.int64).tolist(), first.tolist(), (last + size).tolist(), strict=True):
+        yield t, s, key, words[a:e].tobytes()
+
+
+def repeated(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, head) of entries sorted by hash and id without repeats; heads are the first ones of their hash."""
     order = np.lexsort((ids, hashes))
     h, i = hashes[order], ids[order]
-    keep = np.append(True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]))[: len(order)]
-    order = order[keep]
+    order = order[np.append(True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]))[: len(order)]]
     h = hashes[order]
-    head = np.append(True, h[1:] != h[:-1])[: len(order)]
-    flagged = ~head
-    if first_too:
-        flagged = flagged | np.append(flagged[1:], False)[: len(order)]
-    return order, head, flagged
+    return order, np.append(True, h[1:] != h[:-1])[: len(order)]
 
 
 def by_id(ids: np.ndarray, hashes: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -73,18 +175,22 @@ def by_id(ids: np.ndarray, hashes: np.ndarray) -> tuple[list[int], list[bytes]]:
     return ids[heads].tolist(), [x.tobytes() for x in np.split(hashes, heads[1:])] if len(ids) else []
 
 
-def meeting(rows: DataFrame, hashes_of: Callable[[list[bytes], list], list[np.ndarray]], buckets: int, first_too: bool) -> DataFrame:
-    """(id, found): for each document the packed hashes that a smaller document has too (or, with ``first_too``, any
-    other document).  ``rows``: id, body and, if needed, what ``hashes_of`` takes besides the bodies."""
+def shared_anchors(rows: DataFrame, size: int, buckets: int) -> DataFrame:
+    """(id, found): for each document of ``rows`` (id, body) its packed anchors that another document has too.
+
+    Anchors cross the network as packed arrays.  A batch sends one entry for an anchor however many of its documents
+    have it, and settles the others itself, so an anchor in a third of all documents costs one entry for each batch.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(ids: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
             owner = np.repeat(np.array(ids, np.int64), [len(p) for p in parts])
             every = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            order, head, flagged = settled(owner, every, first_too)
+            order, head = repeated(owner, every)
+            flagged = ~head | np.append(~head[1:], False)[: len(head)]
             local_ids, local = by_id(owner[order][flagged], every[order][flagged])
             sent_ids, sent = owner[order][head], every[order][head]
-            # Heads that are flagged already need no answer, but they still stand for their hash.
+            # Heads that are flagged already need no answer, but they still stand for their anchor.
             bucket = ((sent * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             sent, sent_ids, bucket = sent[order], sent_ids[order], bucket[order].astype(np.int64)
@@ -96,23 +202,19 @@ def meeting(rows: DataFrame, hashes_of: Callable[[list[bytes], list], list[np.nd
             kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["bucket", "id", "found", "o", "g"])
 
-        ids, parts, size = [], [], 0
+        ids, parts, room = [], [], BATCH_BYTES
         for b in batches:
-            bodies, extra = b.column(1).to_pylist(), b.column(2).to_pylist() if b.num_columns > 2 else None
-            at = 0
-            while at < len(bodies):
-                end, room = at, 0
-                while end < len(bodies) and room < 4 << 20:
-                    room += len(bodies[end])
-                    end += 1
+            bodies = b.column(1).to_pylist()
+            for at, end in runs(bodies):
                 ids += b.column(0).slice(at, end - at).to_pylist()
-                parts += hashes_of(bodies[at:end], extra[at:end] if extra else [])
-                size += room
-                at = end
-                if size > BATCH_BYTES:
+                parts += anchors(bodies[at:end], size)
+                room -= sum(map(len, bodies[at:end]))
+                if room < 0:
                     yield told(ids, parts)
-                    ids, parts, size = [], [], 0
+                    ids, parts, room = [], [], BATCH_BYTES
         yield told(ids, parts)
+        ids, parts = [], []
+        released()
 
     def meet(t: pa.Table) -> pa.Table:
         hashes, owner = [], []
@@ -120,9 +222,13 @@ def meeting(rows: DataFrame, hashes_of: Callable[[list[bytes], list], list[np.nd
             hashes.append(np.frombuffer(h, np.uint64))
             owner.append(np.frombuffer(g, np.int64)[np.frombuffer(o, np.int32)])
         ids, every = np.concatenate(owner), np.concatenate(hashes)
-        order, _, flagged = settled(ids, every, first_too)
-        who, found = by_id(ids[order][flagged], every[order][flagged])
-        return pa.Table.from_arrays([pa.array(who, pa.int64()), pa.array(found, pa.binary())], ["id", "found"])
+        del hashes, owner
+        order, head = repeated(ids, every)
+        order = order[~head | np.append(~head[1:], False)[: len(head)]]
+        who, found = by_id(ids[order], every[order])
+        out = pa.Table.from_arrays([pa.array(who, pa.int64()), pa.array(found, pa.binary())], ["id", "found"])
+        released()
+        return out
 
     # The parts that a batch settled itself and the buckets are one output, written once.
     dealt = written(rows.mapInArrow(deal, "bucket int, id long, found binary, o binary, g binary"), "dealt")
@@ -130,29 +236,221 @@ def meeting(rows: DataFrame, hashes_of: Callable[[list[bytes], list], list[np.nd
     return met.union(dealt.filter("bucket < 0").select("id", "found")).groupBy("id").agg(F.collect_list("found").alias("found"))
 
 
-def anchors(size: int) -> Callable[[list[bytes], list], list[np.ndarray]]:
-    def of(texts: list[bytes], _: list) -> list[np.ndarray]:
-        return [np.unique(a) for a, _ in window_hashes(texts, size)]
+PASSAGE = "anchor long, id long, row long, at int, n int, words binary, spans binary"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
-    return of
 
+class Sink:
+    """Rows of PASSAGE: passages that are open, and spans (first, end) of words to remove, packed by document."""
 
-def anchored(size: int) -> Callable[[list[bytes], list], list[np.ndarray]]:
-    def of(texts: list[bytes], shared: list) -> list[np.ndarray]:
-        out = []
-        for (a, h), found in zip(window_hashes(texts, size), shared, strict=True):
-            out.append(h[np.isin(a, np.frombuffer(b"".join(found), np.uint64))])
-        return out
+    def __init__(self):
+        self.open: list[tuple] = []
+        self.spans: dict[tuple[int, int], list[int]] = {}
+        self.size = 0
 
-    return of
+    def passage(self, anchor: int, ident: int, row: int, at: int, words: bytes) -> None:
+        self.open.append((anchor, ident, row, at, len(words) // 8, words, None))
+        self.size += len(words) + 40
 
+    def remove(self, ident: int, row: int, first: int, end: int) -> None:
+        self.spans.setdefault((ident, row), []).extend((first, end))
+        self.size += 80
 
-def with_ids(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows joined to their entry in ``found``; while its ids are few enough, texts without one don't move."""
-    n = found.count()
-    if n <= BROADCAST_IDS:
-        rows = rows.join(F.broadcast(found.select("id")), "id", "left_semi")
-    return rows.join(found, "id")
+    def batch(self) -> pa.RecordBatch:
+        # Spans are dealt by document, so that no task gets them all.
+        rows = self.open + [(i ^ r, i, r, 0, 0, None, np.array(x, np.int32).tobytes()) for (i, r), x in self.spans.items()]
+        self.open, self.spans, self.size = [], {}, 0
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(KINDS)], [x.split()[0] for x in PASSAGE.split(", ")])
+
+    def full(self) -> bool:
+        return self.size > 4 << 20
+
+
+def cut_passages(rows: DataFrame, size: int) -> DataFrame:
+    """The open passages of ``rows`` (id, row, body, found), and spans of those whose copy in the batch is in a smaller document."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(same: dict[bytes, list[tuple[int, int, int, int]]]) -> Iterator[pa.RecordBatch]:
+            sink = Sink()
+            for words, found in same.items():
+                least = min(found)[0]
+                for ident, row, at, anchor in found:
+                    if ident > least:
+                        sink.remove(ident, row, at, at + len(words) // 8)
+                    else:
+                        sink.passage(anchor, ident, row, at, words)
+                if sink.full():
+                    yield sink.batch()
+            yield sink.batch()
+
+        same: dict[bytes, list[tuple[int, int, int, int]]] = {}
+        room = BATCH_BYTES
+        for b in batches:
+            ids, keys, bodies, found = (c.to_pylist() for c in b.columns)
+            for a, e in runs(bodies):
+                shared = np.unique(np.frombuffer(b"".join(x for f in found[a:e] for x in f), np.uint64))
+                for t, at, anchor, words in passages(bodies[a:e], shared, size):
+                    same.setdefault(words, []).append((ids[a + t], keys[a + t], at, anchor))
+                room -= sum(map(len, bodies[a:e]))
+                if room < 0:
+                    yield from told(same)
+                    same, room = {}, BATCH_BYTES
+        yield from told(same)
+        same = {}
+        released()
+
+    return rows.select("id", "row", "body", "found").mapInArrow(cut, PASSAGE)
+
+
+def hot_automaton(cut: DataFrame) -> Automaton:
+    """The automaton of the passages that most batches have; HOT_WORDS bounds what comes to the driver and is broadcast."""
+    sent = cut.filter(f"words is not null and n <= {HOT_LENGTH}").withColumn("h", F.xxhash64("words"))
+    often = sent.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("least"), F.max("n").alias("n")).filter(F.col("c") >= HOT)
+    top = often.orderBy(F.desc("c"), "h").limit(HOT_WORDS // ANCHOR).collect()
+    chosen, words = [], 0
+    for r in top:
+        if words + r["n"] <= HOT_WORDS:
+            chosen.append((r["h"], r["least"]))
+            words += r["n"]
+    if not chosen:
+        return Automaton(iter(()))
+    small = F.broadcast(cut.sparkSession.createDataFrame(chosen, "h long, least long"))
+    texts = sent.join(small, "h").groupBy("words").agg(F.min("id").alias("least")).limit(2 * len(chosen)).collect()
+    return Automaton((np.frombuffer(r["words"], np.uint64).tolist(), r["least"]) for r in texts)
+
+
+def spans_to_remove(cut: DataFrame, size: int) -> DataFrame:
+    """(id, row, spans) of all words that ``cut``'s passages lose."""
+    spark = cut.sparkSession
+    hot = spark.sparkContext.broadcast(hot_automaton(cut))
+    total = cut.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(8 * total // TASK_BYTES))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A passage whose windows all are in smaller documents of the hot shard goes no further: those documents stand
+        for it wherever its windows are looked for."""
+        known = hot.value
+        for b in batches:
+            if b.num_rows and len(known.link) > 1:
+                sink, packed = Sink(), b.column(6).to_pylist()
+                done = np.zeros(b.num_rows, bool)
+                for k, (ident, row, at, n, words) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 4, 5)), strict=True)):
+                    if packed[k] is None and known.spans(np.frombuffer(words, np.uint64).tolist(), ident, size)[1] == n - size + 1:
+                        sink.remove(ident, row, at, at + n)
+                        done[k] = True
+                yield b.filter(pa.array(~done))
+                yield sink.batch()
+            else:
+                yield b
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink = Sink()
+        shard: list[tuple[bytes, list[tuple[int, int, int]]]] = []  # distinct passages and where their smallest document has them
+        here: list[tuple[bytes, list[tuple[int, int, int]]]] = []
+        room = here_words = 0
+        anchor = last = None
+        late = False
+
+        def solved() -> None:
+            known = Automaton((np.frombuffer(w, np.uint64).tolist(), found[0][0]) for w, found in shard)
+            for w, found in shard:
+                for first, end in known.spans(np.frombuffer(w, np.uint64).tolist(), found[0][0], size)[0]:
+                    for ident, row, at in found:
+                        sink.remove(ident, row, at + first, at + end)
+            shard.clear()
+
+        def one_by_one(passages: list[tuple[bytes, list[tuple[int, int, int]]]]) -> None:
+            for w, found in passages:
+                for k in range(len(w) // 8 - size + 1):
+                    window = w[8 * k : 8 * (k + size)]
+                    key = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+                    for ident, row, at in found:
+                        sink.passage(key, ident, row, at + k, window)
+
+        for b in batches:
+            for key, ident, row, at, words, spans in zip(*(b.column(c).to_pylist() for c in (0, 1, 2, 3, 5, 6)), strict=True):
+                if sink.full():
+                    yield sink.batch()
+                if words is None:
+                    sink.spans.setdefault((ident, row), []).extend(np.frombuffer(spans, np.int32).tolist())
+                    sink.size += 20 + len(spans)
+                    continue
+                if key != anchor:
+                    if len(here) > 1:  # else the only passage with this anchor is nowhere else
+                        shard += here
+                        room += here_words
+                        if room > SHARD_WORDS:
+                            solved()
+                            room = 0
+                    anchor, last, late, here, here_words = key, None, False, [], 0
+                if words == last:
+                    if ident > least:
+                        sink.remove(ident, row, at, at + len(words) // 8)
+                    elif late:
+                        one_by_one([(words, [(ident, row, at)])])
+                    else:
+                        here[-1][1].append((ident, row, at))
+                    continue
+                last, least = words, ident
+                here_words += len(words) // 8
+                if not late and here_words > SHARD_WORDS:
+                    late = True
+                    one_by_one(here)
+                    here = []
+                if late:
+                    one_by_one([(words, [(ident, row, at)])])
+                else:
+                    here.append((words, [(ident, row, at)]))
+        if len(here) > 1:
+            shard += here
+        solved()
+        yield sink.batch()
+        released()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least, sink = None, 0, Sink()
+        for b in batches:
+            for ident, row, at, words in zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 5)), strict=True):
+                if words != last:
+                    last, least = words, ident
+                elif ident > least:
+                    sink.remove(ident, row, at, at + size)
+            yield sink.batch()
+
+    def dealt(df: DataFrame, n: int) -> DataFrame:
+        return df.repartition(n, "anchor").sortWithinPartitions("anchor", "words", "id")
+
+    with small_batches(spark):
+        first = written(dealt(cut.mapInArrow(settle, PASSAGE), tasks).mapInArrow(match, PASSAGE), "spans")
+    left = first.filter("words is not null")
+    late = left.count()
+    found = first.filter("words is null")
+    if late:
+        found = found.union(written(dealt(left, max(tasks, 8 * size * late // TASK_BYTES)).mapInArrow(meet, PASSAGE), "spans"))
+    return found.groupBy("id", "row").agg(F.collect_list("spans").alias("spans"))
+
+
+def joined_found(rows: DataFrame, found: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Rows joined to their entry in ``found``; while its rows are few enough, texts without one don't move."""
+    if found.count() > BROADCAST_IDS:
+        return rows.join(found, on, how)
+    keys = F.broadcast(found.select(*on))
+    out = rows.join(keys, on, "left_semi").join(found, on)
+    if how == "left":
+        rest = rows.join(keys, on, "left_anti")
+        names = [c for c in found.columns if c not in on]
+        out = out.unionByName(rest.select("*", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in names]))
+    return out
+
+
+def copies_of(keyed: DataFrame) -> DataFrame:
+    """(id, key) of the documents whose text a smaller document has.  Texts of very many rows meet by broadcast."""
+    sums = written(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("rows")).filter("first <> last"), "texts")
+    often = max(COPIES, (sums.agg(F.sum("rows")).first()[0] or 0) // HOT_TEXTS)
+    hot = F.broadcast(sums.filter(F.col("rows") >= often).select("key", "first"))
+    many = keyed.join(hot, "key")
+    few = keyed.join(hot.select("key"), "key", "left_anti").join(sums.filter(F.col("rows") < often).select("key", "first"), "key")
+    return many.unionByName(few).filter("id <> first").select("id", "key").distinct()
 
 
 def cut_text(body: bytes, covered: np.ndarray) -> bytes:
@@ -174,73 +472,52 @@ def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
     ids are one document: neither removes the other's words.  Texts of fewer words than ``size`` stay as they are.  An
     empty table gives an empty result.  Other columns are not read; with ``whole`` the row comes along as a struct.
     """
-    carried = ["row"] * whole
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.struct("*").alias("row")] * whole)
-    keyed = rows.filter("id is not null and text is not null").select("id", F.md5(utf8("text")).alias("key"))
-    several = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last")
-    copies = written(keyed.join(several, "key").filter("id <> first").select("id", "key").distinct(), "copies")
-    n_copies = copies.count()
+    carried = ["whole"] * whole
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.struct("*").alias("whole")] * whole)
+    copies = written(copies_of(rows.filter("id is not null and text is not null").select("id", F.md5(utf8("text")).alias("key"))), "copies")
     body = rows.select("id", utf8("text").alias("body"), F.md5(utf8("text")).alias("key"), F.col("text").isNull().alias("none"), *carried)
-    marked = joined_small(body, copies.withColumn("copy", F.lit(True)), ["id", "key"], "left", n_copies, BROADCAST_IDS // 4)
-    own = marked.filter("id is not null and copy is null").select("id", "body")
+    marked = joined_small(body, copies.withColumn("copy", F.lit(True)), ["id", "key"], "left", copies.count(), BROADCAST_IDS // 4)
+    marked = marked.withColumn("row", F.xxhash64("body"))  # rows of one id may have several texts
+    own = marked.filter("id is not null and copy is null").select("id", "row", "body")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
 
-    buckets = max(8, int(total / 6 / 5 // BUCKET) + 1)
-    shared = written(meeting(own, anchors(size), buckets, first_too=True), "anchors")
-    found = written(meeting(with_ids(own, shared).select("id", "body", "found"), anchored(size), buckets, first_too=False), "windows")
+    shared = written(shared_anchors(own.select("id", "body"), size, max(8, int(total / 6 / 5 // BUCKET) + 1)), "anchors")
+    cut = written(cut_passages(joined_found(own, shared, ["id"]), size), "passages")
+    found = written(spans_to_remove(cut, size), "found")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bodies, flags = b.column(1).to_pylist(), list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True))
-            at = 0
-            while at < len(bodies):
-                end, room = at, 0
-                while end < len(bodies) and room < 4 << 20:
-                    room += len(bodies[end])
-                    end += 1
-                texts, out = bodies[at:end], []
-                needed = [t for t, f in zip(texts, flags[at:end], strict=True) if f[2]]
-                hashed = window_hashes(needed, size) if needed else iter(())
-                for t, (none, copy, cut) in zip(texts, flags[at:end], strict=True):
+            for at, end in runs(bodies):
+                out = []
+                for t, (none, copy, spans) in zip(bodies[at:end], flags[at:end], strict=True):
                     words = t.split()
                     n = len(words)
-                    covered = np.full(n, bool(copy) and n >= size)
-                    if cut:
-                        starts = np.isin(next(hashed)[1], np.frombuffer(b"".join(cut), np.uint64))
-                        if not copy and starts.any():
-                            reach = np.zeros(n + 1, np.int64)
-                            np.add.at(reach, np.flatnonzero(starts), 1)
-                            np.add.at(reach, np.flatnonzero(starts) + size, -1)
-                            covered = np.cumsum(reach)[:n] > 0
-                    gone = int(covered.sum())
+                    gone = np.full(n, bool(copy) and n >= size)
+                    for x in [] if copy else spans or []:
+                        for first, last in np.frombuffer(x, np.int32).reshape(-1, 2).tolist():
+                            gone[first:last] = True
+                    lost = int(gone.sum())
                     if digests:
-                        kept = hashlib.sha256(b" ".join(w for w, c in zip(words, covered.tolist(), strict=True) if not c) if gone else b" ".join(words)).hexdigest()
+                        kept = hashlib.sha256(b" ".join(w for w, c in zip(words, gone.tolist(), strict=True) if not c) if lost else b" ".join(words)).hexdigest()
                     else:
-                        kept = None if none else (cut_text(t, covered) if gone else t).decode()
-                    out.append((n, gone, kept))
+                        kept = None if none else (cut_text(t, gone) if lost else t).decode()
+                    out.append((n, lost, kept))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, end - at), *(pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)), pa.array([o[2] for o in out], pa.string()), *(c.slice(at, end - at) for c in b.columns[5:])],
                     ["id", "n_words", "n_removed", "kept", *carried],
                 )
-                at = end
-
-    n_found = found.count()
-    marked = marked.select("id", "body", "none", "copy", *carried)
-    if n_found <= BROADCAST_IDS:
-        ids = F.broadcast(found.select("id"))
-        plain = marked.join(ids, "id", "left_anti").withColumn("found", F.lit(None).cast("array<binary>"))
-        last = marked.join(ids, "id", "left_semi").join(found, "id").unionByName(plain)
-    else:
-        last = marked.join(found, "id", "left")
-    schema = "id long, n_words long, n_removed long, kept string" + "".join(f", row {rows.schema['row'].dataType.simpleString()}" for _ in carried)
-    done = last.select("id", "body", "none", "copy", "found", *carried).mapInArrow(removed, schema)
+
+    last = joined_found(marked.select("id", "row", "body", "none", "copy", *carried), found, ["id", "row"], "left")
+    schema = "id long, n_words long, n_removed long, kept string" + "".join(f", whole {rows.schema['whole'].dataType.simpleString()}" for _ in carried)
+    done = last.select("id", "body", "none", "copy", "spans", *carried).mapInArrow(removed, schema)
     return done.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digests else "kept"), *carried)
 
 
 def without_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated words cut from the text column; all else as it was."""
     done = substring_dedup(docs, size, id_col, text_col, whole=True)
-    return done.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    return done.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"whole.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
