@@ -231,6 +231,53 @@ def test_substring_dedup(docs, rows, none):
     assert texts[1] is None and texts[8] == "" and texts[7] == dict(rows)[7]
 
 
+@pytest.mark.parametrize("limits", [{}, {"HOT_ANCHOR": 20}, {"HOT": 1, "HOT_WORDS": 300}, {"SHARD_WORDS": 30}, {"BATCH_BYTES": 2000, "HOT_ANCHOR": 60, "SHARD_WORDS": 50, "COPIES": 2}])
+def test_substring_dedup_by_every_way(spark, monkeypatch, limits):
+    """Common lines between other words, copies, passages inside others, and repeats inside one document, with limits
+    that send them by each of the ways: broadcast shard, other shards, hot anchors, windows one by one."""
+    for name, value in limits.items():
+        monkeypatch.setattr(substring_dedup, name, value)
+    rng = np.random.default_rng(12)
+    word = lambda: f"w{int(rng.integers(0, 400))}"
+    line, passage = [f"l{k}" for k in range(7)], [f"p{k}" for k in range(60)]
+    rows = []
+    for i in range(60):
+        ws: list[str] = []
+        for _ in range(int(rng.integers(1, 6))):
+            kind = int(rng.integers(0, 5))
+            a = int(rng.integers(0, 40))
+            ws += line if kind == 0 else passage[a : a + int(rng.integers(5, 40))] if kind == 1 else ["x"] * int(rng.integers(1, 30)) if kind == 2 else [word() for _ in range(int(rng.integers(1, 20)))]
+        rows.append((int(rng.integers(0, 50)), " ".join(ws)))
+    rows += [(100 + k, rows[k % 3][1]) for k in range(9)]
+    first: dict = {}
+    for i, t in rows:
+        ws = t.split()
+        for k in range(len(ws) - 12):
+            key = tuple(ws[k : k + 13])
+            first[key] = min(first.get(key, i), i)
+    want = Counter()
+    for i, t in rows:
+        ws = t.split()
+        gone = {j for k in range(len(ws) - 12) if first[tuple(ws[k : k + 13])] < i for j in range(k, k + 13)}
+        want[(i, len(ws), len(gone), hashlib.sha256(" ".join(w for k, w in enumerate(ws) if k not in gone).encode()).hexdigest())] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in substring_dedup.substring_dedup(df, digests=True).collect()) == want
+
+
+def test_automaton_finds_every_window():
+    rng = np.random.default_rng(4)
+    texts = [(rng.integers(0, 4, int(rng.integers(3, 60))).tolist(), int(i)) for i in rng.permutation(40)]
+    known = substring_dedup.Automaton(iter(texts))
+    least: dict = {}
+    for ws, i in texts:
+        for k in range(len(ws) - 5):
+            least[tuple(ws[k : k + 6])] = min(least.get(tuple(ws[k : k + 6]), i), i)
+    for ws, i in [*texts, (rng.integers(0, 4, 300).tolist(), 20)]:
+        hits = [k for k in range(len(ws) - 5) if least.get(tuple(ws[k : k + 6]), i) < i]
+        spans, count = known.spans(ws, i, 6)
+        assert count == len(hits) and {j for a, e in spans for j in range(a, e)} == {j for k in hits for j in range(k, k + 6)}
+
+
 def test_decontamination(spark, docs, none):
     rng = np.random.default_rng(1)
     item = " ".join(f"q{k}" for k in range(30))
@@ -316,6 +363,14 @@ def test_language_id(spark, docs, none):
     assert language_id.identify(none, tokenizer_path(PIECES)).count() == 0
 
 
+def test_language_needs_a_letter(spark):
+    learned = spark.createDataFrame([(k, "der hund und die katze" if k % 2 else "the dog and the cat", "de" if k % 2 else "en") for k in range(40)], "doc_id long, text string, lang string")
+    odd = ["½ ²", "①", "12 3", "_", "Ⅷ", "٣", "a½", "ª"]
+    model = language_id.fit(learned, tokenizer_path(PIECES))
+    assert [x for x, _ in model.texts(odd)][:6] == ["und"] * 6 and "und" not in [x for x, _ in model.texts(odd)][6:]
+    assert language_id.words_of("a½b Ⅷc١") == ["a", "b", "c"]
+
+
 def test_language_forward_sums_all_segmentations():
     model = language_id.LanguageModel(["?", "▁", "a", "b", "ab", "▁a"], ["x"], np.array([[1e-9], [0.3], [0.2], [0.1], [0.25], [0.15]]))
     p = dict(zip(model.pieces, model.p[:, 0], strict=True))
@@ -324,7 +379,7 @@ def test_language_forward_sums_all_segmentations():
 
 
 def test_warc(spark, rows):
-    pages = [(i, f"http://x.example/{i} b" if t else None, t) for i, t in rows if i != 40] + [(50, "u", "same"), (51, None, "same"), (50, "u", "same")]
+    pages = [(i, f"http://x.example/{i} b" if t else None, t) for i, t in rows if i != 40] + [(50, "u", "same"), (51, None, "same"), (50, "u", "same"), (-1, "v", "as minus one"), (None, "v", "as minus one"), (None, "w", "nobody's"), (None, "w", "nobody's")]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string").repartition(2)
     found = Counter(tuple(r) for r in warc.read_pages(warc.write_pages(df, fresh_dir(spark, "warc"))).collect())
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()

@@ -12,7 +12,8 @@ the window's length, say of each window whether a smaller document has it; runs
    of hot passages, however many, are settled where they are.
 4. The corpus is its own reference, so the other shards have no bound together and aren't broadcast: passages go to the
    shard of their anchor, whose automaton is built there, of about SHARD_WORDS words of distinct passages at a time.
-   Should the passages of one anchor have more than that, their windows go on one by one, each to its own place.
+   Hot anchors (a common line between ever other words) would fill one task: their windows meet by their own 128-bit
+   hash instead, packed by batch.  Should another anchor's passages outgrow an automaton, their windows go on one by one.
 5. Documents with spans to remove are read once more and the covered words dropped.
 
 Words are 64-bit hashes; a wrong match takes two words of one hash between the same other words.
@@ -30,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.llm.common import joined_small, released, runs, small_batches, table, utf8, written
-from tideway.llm.shingles import windows, words_hashed
+from tideway.llm.shingles import mixed, windows, words_hashed
 
 ANCHOR = 5
-#: Anchors in one bucket of their meeting, on average.
-BUCKET = 500_000
+#: Anchors, or windows of hot anchors, in one bucket of their meeting, on average.
+BUCKET = 1_500_000
 #: Ids that may be broadcast, 8 bytes each; more go through a shuffle join.
 BROADCAST_IDS = 1_000_000
 #: Texts whose passages a task settles among themselves before it sends them.
@@ -43,6 +44,8 @@ BATCH_BYTES = 16 << 20
 HOT, HOT_LENGTH, HOT_WORDS = 8, 256, 60_000
 #: Words of the automaton of a shard, and bytes of passages in one task, on average.
 SHARD_WORDS, TASK_BYTES = 100_000, 16 << 20
+#: An anchor whose passages have so many words, and one in HOT_ANCHORS of all, is hot: at most HOT_ANCHORS are.
+HOT_ANCHOR, HOT_ANCHORS = 20_000, 20_000
 #: A text that so many rows or more have, and one in HOT_TEXTS of all copies, is joined by broadcast: at most HOT_TEXTS.
 COPIES, HOT_TEXTS = 5_000, 100_000
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -319,12 +322,99 @@ def hot_automaton(cut: DataFrame) -> Automaton:
     return Automaton((np.frombuffer(r["words"], np.uint64).tolist(), r["least"]) for r in texts)
 
 
+def hot_windows(cut: DataFrame, size: int, buckets: int) -> DataFrame:
+    """(id, row, spans) that the windows of ``cut``'s passages lose to smaller documents, by meeting one by one.
+
+    A batch sends a window once for its smallest document that has it and settles the others itself; windows cross the
+    network as packed arrays, one row for each batch and bucket.
+    """
+
+    def packed(ids: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+        order = np.lexsort((at, rows, ids))
+        ids, rows, at = ids[order], rows[order], at[order]
+        heads = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]))[: len(ids)])
+        spans = [np.stack([x, x + size], axis=1).astype(np.int32).tobytes() for x in np.split(at, heads[1:])] if len(ids) else []
+        return ids[heads].tolist(), rows[heads].tolist(), spans
+
+    def lost(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which entries (two hashes each) have an equal one with a smaller id."""
+        order = np.lexsort((ids, hashes[:, 1], hashes[:, 0]))
+        h, i = hashes[order], ids[order]
+        head = np.append(True, (h[1:] != h[:-1]).any(axis=1))[: len(order)]
+        least = i[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        out = np.zeros(len(order), bool)
+        out[order] = i > least
+        return out
+
+    def entries(words: list[bytes], ids: list[int], rows: list[int], at: list[int]) -> tuple[np.ndarray, ...]:
+        lengths = np.array([len(w) // 8 for w in words])
+        every, ends = np.frombuffer(b"".join(words), np.uint64), np.cumsum(lengths)
+        owner = np.repeat(np.arange(len(words)), lengths)
+        place = np.arange(len(every))
+        inside = place + size <= ends[owner]
+        first = np.zeros((len(every), 2), np.uint64)
+        first[: max(0, len(every) - size + 1), 0] = windows(every, size)
+        first[: max(0, len(every) - size + 1), 1] = windows(mixed(every), size)
+        owner = owner[inside]
+        start = place[inside] - (ends - lengths)[owner]
+        return first[inside], np.array(ids, np.int64)[owner], np.array(rows, np.int64)[owner], np.array(at, np.int64)[owner] + start
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, rows, at, words = (b.column(k).to_pylist() for k in (1, 2, 3, 5))
+            h, i, r, p = entries(words, ids, rows, at)
+            gone = lost(h, i)
+            who, which, spans = packed(i[gone], r[gone], p[gone])
+            out = [(-1, x, y, z, None, None) for x, y, z in zip(who, which, spans, strict=True)]
+            h, i, r, p = h[~gone], i[~gone], r[~gone], p[~gone]
+            bucket = ((h[:, 0] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            h, i, r, p, bucket = h[order], i[order], r[order], p[order], bucket[order].astype(np.int64)
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+            for a, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False):
+                facts = np.stack([i[a:e], r[a:e], p[a:e]], axis=1)
+                who, back = np.unique(facts[:, :2], axis=0, return_inverse=True)
+                out.append((int(bucket[a]), None, None, np.stack([back.ravel(), p[a:e]], axis=1).astype(np.int32).tobytes(), h[a:e].tobytes(), who.tobytes()))
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["bucket", "id", "row", "spans", "h", "who"])
+        released()
+
+    def meet(t: pa.Table) -> pa.Table:
+        hashes, ids, rows, at = [], [], [], []
+        for spans, h, who in zip(t["spans"].to_pylist(), t["h"].to_pylist(), t["who"].to_pylist(), strict=True):
+            place, owner = np.frombuffer(spans, np.int32).reshape(-1, 2), np.frombuffer(who, np.int64).reshape(-1, 2)
+            hashes.append(np.frombuffer(h, np.uint64).reshape(-1, 2))
+            ids.append(owner[place[:, 0], 0])
+            rows.append(owner[place[:, 0], 1])
+            at.append(place[:, 1].astype(np.int64))
+        ids, rows, at = np.concatenate(ids), np.concatenate(rows), np.concatenate(at)
+        gone = lost(np.concatenate(hashes), ids)
+        who, which, spans = packed(ids[gone], rows[gone], at[gone])
+        out = pa.Table.from_arrays([pa.array(who, pa.int64()), pa.array(which, pa.int64()), pa.array(spans, pa.binary())], ["id", "row", "spans"])
+        released()
+        return out
+
+    with small_batches(cut.sparkSession):
+        dealt = written(cut.mapInArrow(deal, "bucket int, id long, row long, spans binary, h binary, who binary"), "dealt")
+    met = dealt.filter("bucket >= 0").select("bucket", "spans", "h", "who").groupBy("bucket").applyInArrow(meet, "id long, row long, spans binary")
+    return met.union(dealt.filter("bucket < 0").select("id", "row", "spans"))
+
+
 def spans_to_remove(cut: DataFrame, size: int) -> DataFrame:
     """(id, row, spans) of all words that ``cut``'s passages lose."""
     spark = cut.sparkSession
     hot = spark.sparkContext.broadcast(hot_automaton(cut))
     total = cut.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(8 * total // TASK_BYTES))
+    anchors_ = written(cut.filter("words is not null").groupBy("anchor").agg(F.sum("n").alias("words")).filter(F.col("words") > max(HOT_ANCHOR, total // HOT_ANCHORS)), "hot-anchors")
+    hot_words = anchors_.agg(F.sum("words")).first()[0] or 0
+    often = F.broadcast(anchors_.select("anchor"))
+    by_window = None
+    if hot_words:
+        by_window = written(hot_windows(cut.filter("words is not null").join(often, "anchor", "left_semi"), size, max(1, int(hot_words // BUCKET))), "spans")
+        cut = cut.filter("words is null").unionByName(cut.filter("words is not null").join(often, "anchor", "left_anti"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A passage whose windows all are in smaller documents of the hot shard goes no further: those documents stand
@@ -424,9 +514,11 @@ def spans_to_remove(cut: DataFrame, size: int) -> DataFrame:
         first = written(dealt(cut.mapInArrow(settle, PASSAGE), tasks).mapInArrow(match, PASSAGE), "spans")
     left = first.filter("words is not null")
     late = left.count()
-    found = first.filter("words is null")
+    found = first.filter("words is null").select("id", "row", "spans")
+    if by_window is not None:
+        found = found.union(by_window)
     if late:
-        found = found.union(written(dealt(left, max(tasks, 8 * size * late // TASK_BYTES)).mapInArrow(meet, PASSAGE), "spans"))
+        found = found.union(written(dealt(left, max(tasks, 8 * size * late // TASK_BYTES)).mapInArrow(meet, PASSAGE), "spans").select("id", "row", "spans"))
     return found.groupBy("id", "row").agg(F.collect_list("spans").alias("spans"))
 
 
