@@ -24,6 +24,8 @@ STOP_WORDS = (
     "der die das und ist von zu den mit sich auf ein eine nicht als im dem für es "
     "el los las y una por con no su para se lo más como al"
 ).split()
+#: A line that ends as a sentence does.
+ENDED = r"[.!?…:;\"'”»)]\s*$"
 ROUNDS = 12
 
 
@@ -47,8 +49,10 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wh
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("body", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.size(F.array_intersect("w", F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("n_stop"),
-        F.regexp_count("body", F.lit("[A-Z]")).cast("long").alias("n_upper"),
-        F.regexp_count("body", F.lit("!")).cast("long").alias("n_shouts"),
+        F.size(F.array_distinct("w")).cast("long").alias("n_unique"),
+        F.size(F.filter("w", lambda x: F.length(x) == 1)).cast("long").alias("n_short"),
+        F.size(F.filter("w", lambda x: x.rlike(r"\p{L}"))).cast("long").alias("n_lettered"),
+        F.size(F.filter(lines, lambda x: x.rlike(ENDED))).cast("long").alias("n_ended"),
         lines.alias("l"),
         F.sort_array(triples).alias("s"),
     )
@@ -72,8 +76,10 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wh
         "word_chars",
         "n_symbols",
         "n_stop",
-        "n_upper",
-        "n_shouts",
+        "n_unique",
+        "n_short",
+        "n_lettered",
+        "n_ended",
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -85,18 +91,25 @@ def vote(value: Column, good: Column, bad: Column) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """The rules: share thresholds with a gap between good and bad, in which a rule abstains."""
+    """The rules: shares with a gap between good and bad in which a rule abstains, as do rules without anything to judge.
+
+    The bounds are those of published web corpus filters or close to them.  No rule is a part of ``base_failed``: the
+    bounds of repeated words are far below the base's.
+    """
     share = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
-    symbols, dups, repeats = share("n_symbols", "n_words"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")
-    length, upper, shouts = share("word_chars", "n_words"), share("n_upper", "word_chars"), share("n_shouts", "n_words")
+    low = lambda x, good, bad: vote(x, x < good, x > bad)
+    high = lambda x, good, bad: vote(x, x > good, x < bad)
+    length = share("word_chars", "n_words")
     return {
-        "v_symbols": vote(symbols, symbols < 0.1, symbols > 0.3),
-        "v_dup_lines": vote(dups, dups < 0.2, dups > 0.4),
-        "v_repeats": vote(repeats, repeats < 0.3, repeats > 0.5),
-        "v_length": vote(length, (length > 3) & (length < 10), (length < 2) | (length > 14)),
-        "v_upper": vote(upper, upper < 0.15, upper > 0.4),
-        "v_shouts": vote(shouts, shouts < 0.05, shouts > 0.3),
-        "v_stop": vote(F.col("n_words"), (F.col("n_stop") >= 3), (F.col("n_words") >= 50) & (F.col("n_stop") == 0)),
+        "v_symbols": low(share("n_symbols", "n_words"), 0.05, 0.1),
+        "v_dup_lines": low(share("n_dup_lines", "n_lines"), 0.1, 0.3),
+        "v_repeats": low(share("n_repeat_words", "n_words"), 0.1, 0.2),
+        "v_length": vote(length, (length > 3.5) & (length < 6.5), (length < 3) | (length > 7)),
+        "v_letters": high(share("n_lettered", "n_words"), 0.9, 0.8),
+        "v_short": low(share("n_short", "n_words"), 0.15, 0.3),
+        "v_unique": high(share("n_unique", "n_words"), 0.6, 0.3),
+        "v_ends": high(share("n_ended", "n_lines"), 0.8, 0.5),
+        "v_stop": vote(F.col("n_words"), F.col("n_stop") >= 3, (F.col("n_words") >= 50) & (F.col("n_stop") == 0)),
     }
 
 
