@@ -60,7 +60,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     table on either side gives an empty result; other columns are not read.
 
     Only hits leave the scan's stage: places, hashes and the look-up of the broadcast seeds are one generated loop, and
-    a document's words travel to the verification of the same row, so texts are never shuffled.
+    a document's words travel to the verification of the same row, so texts are never shuffled.  A benchmark of more than
+    BROADCAST_ROWS seeds is joined by shuffle: then only (document, place, hash) move, 24 bytes each, and the words of
+    documents with a hit are fetched afterwards.
     """
     items = written(
         benchmark.select(F.col(item_col).alias("item"), words_of(item_text).alias("words")).withColumnRenamed("words", "item_words").dropDuplicates(), "items"
@@ -72,7 +74,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     n_keys, n_items = keys.count(), items.count()
     base = docs.select(F.col(id_col).alias("id"), words_of(text_col).alias("words"))
-    hits = joined_small(seeds(base, ["id"], bands), keys, "hash", "inner", n_keys, BROADCAST_ROWS)
+    if n_keys <= BROADCAST_ROWS:
+        hits = seeds(base, ["id"], bands).join(F.broadcast(keys), "hash")
+    else:
+        base = base.withColumn("row", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "words"))  # rows of one id may differ
+        met = seeds(base, ["row"], bands).select("row", "at", "hash").join(keys, "hash").select("row", "item", (F.col("at") - F.col("item_at")).alias("shift"))
+        hits = base.join(met.distinct(), "row").withColumns({"at": F.greatest("shift", F.lit(0)), "item_at": F.greatest(-F.col("shift"), F.lit(0))})
     aligned = joined_small(hits, items.select("item", F.size("item_words").alias("m")), "item", "inner", n_items, BROADCAST_ROWS)
     shift = F.col("at") - F.col("item_at")
     low = F.greatest(-shift, F.lit(0))  # the item's first place inside the document
