@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.llm.common import table, tokenizer_path, utf8
+from tideway.llm.common import released, table, tokenizer_path, utf8
 
 MARK = "▁"
 MARK_UTF8 = MARK.encode()
 #: Chunks kept between batches by one Python worker; past that the table starts anew (a memory bound only).
-TABLE_CHUNKS = 400_000
-RUN_BYTES = 4 << 20
+TABLE_CHUNKS = 200_000
+RUN_BYTES = 1 << 20
 
 
 class ChunkTable:
@@ -115,6 +115,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     ["id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))],
                 )
                 at += len(texts)
+        released()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("body")).mapInArrow(encode, schema).withColumnRenamed("id", id_col)
 
