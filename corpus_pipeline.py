@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmark passages, token ids."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmark passages, token ids.
+
+Every stage takes null ids and texts, repeated rows, empty tables and other columns: null or wordless text fails the
+quality rules, is like nothing, loses nothing and has no tokens; rows with a null id are nobody's copy; columns besides
+doc_id, text and n_chars pass through unchanged.
+"""
 
 from __future__ import annotations
 
@@ -33,8 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a document with a smaller id has; n_chars follows the text."""
-    return without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents without the passages that a document with a smaller id has; n_chars, if it is there, follows the text."""
+    out = without_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
