@@ -18,7 +18,7 @@ def test_query(name, spark, con, sf_dir):
     if name in SQL:
         assert oracle.compare(spark, con, sf_dir, QUERIES[name], SQL[name]) == ""
     else:
-        assert QUERIES[name](spark, sf_dir).columns
+        assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_names_are_unique():

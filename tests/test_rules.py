@@ -1,65 +1,271 @@
-"""Rules that hold whatever the data: hand-made cases."""
+"""Rules that hold whatever the data: hand-made cases with known answers."""
 
-import pandas as pd
+import json
+import struct
 
-from tideway.functions.scalars import CURVES, TEMPERATURE, curve
-from tideway.operators.native import clean_text, clipped_km, components, renormalised_mean
+import pytest
+from pyspark.sql import functions as F
+
+from tideway.functions import geo, scalars, text
+from tideway.operators import aggregates, filters, graph, joins, news
+from tideway.plans import audit, recommend
+from tideway.sources import files
+from tideway.streaming import ais
+
+
+def one(spark, column, **values):
+    """The value of a column over one row."""
+    row = spark.range(1)
+    for name, v in values.items():
+        row = row.withColumn(name, F.lit(v))
+    return row.select(column.alias("v")).first()["v"]
 
 
 def test_missing_is_null_never_a_default(spark):
-    rows = spark.createDataFrame([("a", 1.0, 0.4), ("a", None, 0.6), ("b", None, 1.0)], "k string, score double, weight double")
-    found = {r.k: (r.score, r.completeness) for r in renormalised_mean(rows, "k").collect()}
-    assert found["a"] == (1.0, 0.4) and found["b"] == (None, 0.0)
+    rows = spark.createDataFrame([("a", 1.0, 0.4, "p"), ("a", None, 0.6, "p"), ("b", None, 1.0, "p"), ("c", 0.9, 0.5, None), ("c", 0.3, 0.5, "q")], "segment_id string, score double, weight double, provider string")
+    found = {r.segment_id: (r.score, r.completeness, r.status) for r in aggregates.provider_scores(rows).collect()}
+    assert found == {"a": (1.0, 0.4, "partial"), "b": (None, 0.0, "unavailable"), "c": (0.3, 0.5, "partial")}
 
 
 def test_curves_clamp_and_interpolate(spark):
-    one = lambda sql: spark.sql(f"SELECT {sql} AS v").first()["v"]
-    assert one(curve("4.0e0", CURVES["wave"])) == 80 and one(curve("99.0e0", CURVES["wave"])) == 100 and one(curve("-1.0e0", CURVES["wave"])) == 0
-    assert one(curve("1.5e0", CURVES["wave"])) == 25 and one(curve("CAST(NULL AS DOUBLE)", CURVES["wave"])) is None
-    assert one(TEMPERATURE.format(x="45.0e0")) == 30
+    wave = lambda x: one(spark, scalars.interpolated(F.lit(x).cast("double"), scalars.CURVES["wave"]))
+    assert [wave(x) for x in (4.0, 99.0, -1.0, 1.5, None)] == [80, 100, 0, 25, None]
+    assert [one(spark, scalars.temperature_score(F.lit(x))) for x in (45.0, -15.0, 20.0, 99.0)] == [30, 30, 5, 100]
+    assert [one(spark, scalars.code_score(F.lit(x).cast("int"))) for x in (95, 7, None)] == [75, 25, None]
 
 
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (5, 5)], "a long, b long")
-    assert {r.node: r.component for r in components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, 5: 5}
+    assert {r.node: r.component for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, 5: 5}
 
 
-def test_clean_text():
-    assert clean_text(pd.Series(["a &amp;  b\n", None, "ﬁ", "CafÃ©"])).tolist() == ["a & b", None, "fi", "Café"]
+def test_closure(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "a long, b long")
+    assert {r.node for r in graph.closure(edges, spark.createDataFrame([(2,)], "node long")).collect()} == {1, 2, 3}
 
 
-def test_clip():
-    box = {"south": 0.0, "west": 0.0, "north": 10.0, "east": 10.0, "segment_id": "s", "target_id": "t"}
-    lines = [(-5.0, 5.0, 15.0, 5.0), (20.0, 20.0, 30.0, 30.0), (5.0, 5.0, 5.0, 5.0), (1.0, -10.0, 1.0, 10.0)]
-    pdf = pd.DataFrame([box | dict(zip(("lat1", "lng1", "lat2", "lng2"), x, strict=True)) for x in lines])
-    assert clipped_km(pdf).ratio.tolist() == [0.5, 0.0, 1.0, 0.5]
+def test_clean_text(spark):
+    given = ["a &amp;  b\n", None, "ﬁ", "CafÃ©", " plain  text ", "﻿x"]
+    rows = spark.createDataFrame(list(enumerate(given)), "k int, t string")
+    assert {r.k: r.t for r in text.clean_text(rows, "t").collect()} == dict(enumerate(["a & b", None, "fi", "Café", "plain text", "x"]))
 
 
-def test_jaccard_takes_all_tokens(spark):
-    from pyspark.sql import functions as F
+def test_canonical_url(spark):
+    cases = {
+        "HTTPS://Example.COM//a///b/?utm_source=x&b=2&a=1&fbclid=9#frag": "https://example.com/a/b?a=1&b=2",
+        "//Host/x/": "https://host/x",
+        "http://h": "http://h/",
+        "no host here": "no host here",
+        "": None,
+        "http://h/p?b&a=&A=x=y": "http://h/p?A=x=y&a=&b=",
+        "http://h/?a-b=1&a=2": "http://h/?a=2&a-b=1",
+    }
+    assert {u: one(spark, text.canonical(F.lit(u))) for u in cases} == cases
 
-    from tideway.functions.scalars import jaccard_similarity, tokens
 
-    cases = [("Port of Aden closed", "port OF aden, open", 0.6), ("one two two", "two one", 1.0), ("", "x", 0.0), (None, "one", 0.0), ("a b", "a b", 0.0), ("first middle last", "first other last", 0.5)]
-    rows = spark.createDataFrame([c[:2] for c in cases], "a string, b string").select(jaccard_similarity(tokens(F.col("a")), tokens(F.col("b"))).alias("s")).collect()
-    assert [r.s for r in rows] == [c[2] for c in cases]
+def test_seen_time(spark):
+    now = F.expr("timestamp '2024-01-10 12:00:00'")
+    cases = {
+        "20240110T093000Z": "2024-01-10 09:30:00", "20240109183000": "2024-01-09 18:30:00", "2024-01-10T08:15:00+02:00": "2024-01-10 06:15:00", "2024-01-09": "2024-01-09 00:00:00",
+        "20240110T120400Z": "2024-01-10 12:04:00", "20240110T120600Z": None, "yesterday": None, "2024-13-41": None,
+    }
+    assert {c: one(spark, F.date_format(text.seen_time(F.lit(c), now), "yyyy-MM-dd HH:mm:ss")) for c in cases} == cases
 
 
-def test_jaccard_scores_pairs_that_are_not_neighbours(spark, sf_dir):
-    from tideway import catalog
+def test_classification(spark):
+    cases = [("War in the strait", "conflict", 0.92), ("warfare studies", "other", 0.25), ("Port strike and tsunami", "natural_disaster", 0.94), ("strike", "conflict", 0.72), ("", "other", 0.25), (None, "other", 0.25), ("no_war here", "other", 0.25)]
+    rows = text.classified(spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, t string"), "t")
+    found = {r.k: (r.category, r.severity) for r in rows.select("k", "x.category", "x.severity").collect()}
+    assert [found[k] for k in range(len(cases))] == [c[1:] for c in cases]
+    assert text.classified(spark.createDataFrame([("port strike: export ban",)], "t string"), "t").first()["x"]["categories"] == ["conflict", "strike", "sanction"]
 
-    assert any(r.b > r.a + 1 and 0.3 < r.similarity < 0.4 for r in catalog.queries()["jaccard"](spark, sf_dir).collect())
 
+def test_jaccard_takes_all_tokens(spark):
+    cases = [("Port of Aden closed", "port OF aden, open", 0.6), ("one two two", "two one", 1.0), ("", "x", 0.0), (None, "one", 0.0), ("a b", "a b", 0.0), ("first middle last", "first other last", 0.5), ("Straße", "STRASSE", 1.0)]
+    rows = spark.createDataFrame([c[:2] for c in cases], "a string, b string").select(text.jaccard_similarity(text.tokens(F.col("a")), text.tokens(F.col("b"))).alias("s")).collect()
+    assert [r.s for r in rows] == [c[2] for c in cases]
 
-def test_titles_of_one_event(spark):
-    from tideway.operators.native import clusters, duplicate_pairs, prepared
 
+def test_titles_of_one_event(spark):
     base = "port of aden sees long queue of ships after storm on coast again"  # 12 different tokens
-    titles = [(1, base, 0), (2, base.upper() + "!", 2880), (3, base.replace("again", "today"), 5), (4, base + " today", 6), (5, base + " war", 7), (6, base, 9000), (7, "", 8), (8, None, 9), (9, "tsunami war", 10), (10, "war tsunami", 11)]
-    rows = spark.createDataFrame([(*t, f"h{t[0] % 6}") for t in titles], "article_id long, title string, minute long, body_hash string")
-    # 3 shares 11 of 13 tokens with 1, 4 has 12 of 13; the war makes 5 another category; 6 is too late
-    want = {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (7, 8), (9, 10)}
-    found = [(r.a, r.b) for r in duplicate_pairs(prepared(rows)).collect()]
-    assert sorted(found) == sorted(want)
-    parts = {r.article_id: r.cluster_id for r in clusters(rows.withColumn("body_hash", rows.article_id.cast("string"))).collect()}
-    assert parts == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9, 10: 9}
+    titles = [
+        (1, base, "2024-01-01 00:00:00"), (2, base.upper() + "!", "2024-01-03 00:00:00"), (3, base.replace("again", "today"), "2024-01-01 05:00:00"), (4, base + " today", "2024-01-01 06:00:00"), (5, base + " war", "2024-01-01 07:00:00"),
+        (6, base, "2024-01-08 00:00:00"), (7, "", "2024-01-01 08:00:00"), (8, "tsunami war", "2024-01-01 10:00:00"), (9, "war tsunami", "2024-01-01 11:00:00"), (10, base, "2030-01-01 00:00:00"), (11, "quite another", "2024-01-09 00:00:00"),
+    ]
+    made = [(k, "z", f"d{k}", t, s, f"http://h/{'same' if k in (5, 11) else k}") for k, t, s in titles]
+    now = F.expr("timestamp '2024-01-10 00:00:00'")
+    rows = news.prepared(spark.createDataFrame(made, "article_id long, zone_id string, domain string, title string, seen_at string, url string"), now)
+    assert {r.article_id for r in rows.collect()} == {1, 2, 3, 4, 5, 6, 7, 8, 9, 11}  # 10 lies in the future
+    assert {(r.a, r.b) for r in news.similar_titles(rows).collect()} == {(1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (8, 9)} - {(1, 3), (2, 3)}
+    of = {r.article_id: r.cluster for r in news.clusters(rows).collect()}
+    # 3 shares 11 of 13 tokens with 1 (0.846); the war makes 5 another category; 6 is too late; 5 and 11 have one URL
+    assert of[1] == of[2] == of[4] and of[8] == of[9] == 8 and of[5] == of[11] == 5 and of[6] == 6 and of[7] == 7
+
+
+def test_zone_score_has_known_values(spark):
+    made = [(1, "z", "a.org", "missile hits port", "2024-01-09 00:00:00", "http://h/1"), (2, "z", "b.org", "export ban", "2024-01-10 00:00:00", "http://h/2"), (3, "y", "a.org", "sunny day", "2024-01-10 00:00:00", "http://h/3")]
+    now = F.expr("timestamp '2024-01-10 00:00:00'")
+    rows = news.prepared(spark.createDataFrame(made, "article_id long, zone_id string, domain string, title string, seen_at string, url string"), now)
+    found = {r.zone_id: r for r in news.zone_scores(rows, now).collect()}
+    # severities 0.95 * 0.5 and 0.76: 0.7 * 0.76 + 0.3 * (0.76 + 0.475) / 2
+    assert found["z"].score == pytest.approx(0.7173, abs=1e-4) and found["z"].level == "HIGH" and found["z"].confidence == pytest.approx(0.45 + 0.25 * 2 / 3 + 0.2 * 2 / 3 + 0.1, abs=1e-4)
+    assert found["y"].score is None and found["y"].level == "UNKNOWN" and found["y"].confidence is None
+
+
+def points(*pairs):
+    return F.array(*[F.struct(F.lit(float(a)).alias("lat"), F.lit(float(b)).alias("lng")) for a, b in pairs])
+
+
+def test_geometry(spark):
+    ring = points((0, 0), (0, 10), (10, 10), (10, 0))
+    share = lambda *line: round(one(spark, geo.clipped_share(*[F.lit(float(x)) for x in line], ring)), 6)
+    assert [share(-5, 5, 15, 5), share(20, 20, 30, 30), share(5, 5, 5, 5), share(1, -10, 1, 10), share(-5, -5, 15, 15)] == [0.5, 0.0, 1.0, 0.5, 0.5]
+    back = points((0, 0), (10, 0), (10, 10), (0, 10))
+    assert one(spark, geo.clipped_share(F.lit(-5.0), F.lit(5.0), F.lit(15.0), F.lit(5.0), back)) == pytest.approx(0.5)
+    assert [one(spark, geo.covers(ring, F.lit(a), F.lit(b))) for a, b in ((5.0, 5.0), (15.0, 5.0), (5.0, -1.0))] == [True, False, False]
+    assert one(spark, geo.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(90.0))) == pytest.approx(10007.557, abs=1e-2)
+    arc = one(spark, geo.great_circle(F.lit(0.0), F.lit(170.0), F.lit(0.0), F.lit(-170.0), 3))
+    assert [(p.lat, abs(p.lng)) for p in arc] == [(0.0, 170.0), (0.0, 180.0), (0.0, 170.0)]
+    middle = one(spark, geo.along(points((0, 170), (0, -170)), F.lit(0.75)))
+    assert middle.lng == pytest.approx(-175.0)
+    circle = one(spark, geo.circle(F.lit(0.0), F.lit(0.0), F.lit(1000.0)))
+    assert len(circle) == 48 and circle[0].lat == pytest.approx(8.993, abs=1e-2) and circle[12].lng == pytest.approx(8.993, abs=1e-2)
+
+
+def test_geojson(spark):
+    read = lambda t: one(spark, geo.geometry(F.lit(t)))
+    assert read('{"type":"Point","coordinates":[200,5]}').points[0].lng == 200
+    assert len(read('{"type":"Polygon","coordinates":[[[0,0],[0,1],[1,1],[0,0]]]}').points) == 4
+    bad = ['{"type":"Polygon","coordinates":[[[0,0],[0,1],[1,1],[2,2]]]}', '{"type":"LineString","coordinates":[[0,0]]}', '{"type":"Point","coordinates":[0,95]}', '{"type":"Blob","coordinates":[0,5]}', "{oops", "", '{"type":"Point"}']
+    assert [read(b) for b in bad] == [None] * len(bad)
+
+
+def test_asof_takes_the_nearest_and_nothing_outside(spark):
+    times = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 01:00:00"), ("a", "2024-01-01 09:00:00")], "k string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    asked = ["2023-12-31 23:59:59", "2024-01-01 00:00:00", "2024-01-01 00:30:00", "2024-01-01 00:30:01", "2024-01-01 04:59:59", "2024-01-01 05:00:01", "2024-01-01 09:00:00", "2024-01-01 09:00:01"]
+    left = spark.createDataFrame([("a", x) for x in asked] + [("b", asked[1])], "k string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    found = {str(r["at"]): r["t"].hour for r in joins.asof_nearest(left, times, "k", "at", "t", 3600).collect()}
+    assert found == dict(zip(asked[1:7], [0, 0, 1, 1, 9, 9], strict=True))
+
+
+def test_latest_state_keeps_static_fields(spark):
+    rows = spark.createDataFrame([(1, 1, 1, 5.0, "x"), (1, 2, 2, None, None), (1, 2, 3, 7.0, None)], "k int, t int, e int, speed double, name string")
+    assert [tuple(r) for r in filters.latest_state(rows, "k", "t", "e", ["speed"], ["name"]).collect()] == [(1, 2, 7.0, "x")]
+
+
+def test_optional_conditions_and_plain_text(spark):
+    rows = spark.createDataFrame([("a_b", 1), ("axb", 2)], "s string, n int")
+    assert filters.optional(rows, s=None, n=2).count() == 1 and filters.optional(rows, s=None).count() == 2
+    assert [r.s for r in rows.filter(filters.contains(F.col("s"), "A_B")).collect()] == ["a_b"]
+
+
+def test_ranked_numbers_all_rows(spark):
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x"))
+    assert sorted((r.x, r.place) for r in aggregates.ranked(rows, ["x"], "place").collect()) == [(k, k + 1) for k in range(1000)]
+
+
+def test_requests_are_checked():
+    with pytest.raises(ValueError):
+        recommend.Weights(0.5, 0.5, 0.1)
+    with pytest.raises(ValueError):
+        recommend.Request(frozenset({1}), frozenset({2}), "custom")
+    with pytest.raises(ValueError):
+        recommend.Constraints(max_hops=21)
+    custom = recommend.Request(frozenset({1}), frozenset({2}), "min_cost", recommend.Weights(0.2, 0.2, 0.6))
+    assert custom.resolved().duration == 0.6 and custom.objectives()[0] == "min_cost"
+
+
+def test_guarded_swap(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "g string, n int")
+    assert audit.guarded_swap(rows, rows.filter("n <> 3"), "g", ["a"]).count() == 2
+    with pytest.raises(audit.ProtectedRowsLost):
+        audit.guarded_swap(rows, rows.filter("n <> 1"), "g", ["a"])
+
+
+def test_only_reading_queries_pass(spark):
+    assert files.parameterised(spark, files.read_only("SELECT :x AS v, 'drop table t' AS s"), x="a'b").first()["v"] == "a'b"
+    for bad in ("DROP TABLE t", "SELECT 1; DELETE FROM t", "MERGE INTO t USING u", "select 1 /* x */; set a=b"):
+        with pytest.raises(ValueError):
+            files.read_only(bad)
+
+
+def test_configs():
+    config = {"weights": {"risk": 0.4, "cost": 0.6}, "name": "x"}
+    assert files.load_config(files.save_config(config)) == config and files.strategy(config) is config
+    with pytest.raises(ValueError):
+        files.strategy({"weights": {"risk": 0.4, "cost": 0.7}})
+    assert json.dumps(files.to_jsonable({"a": {3, 1}, "b": b"\x01"})) == '{"a": [1, 3], "b": "01"}'
+
+
+def test_shapefiles(spark, tmp_path):
+    def record(k, body):
+        return struct.pack(">2i", k, len(body) // 2) + body
+
+    line = struct.pack("<i4d2i", 3, 0, 0, 2, 2, 1, 3) + struct.pack("<i", 0) + struct.pack("<6d", 0, 0, 1, 1, 2, 2)
+    shp = struct.pack(">i", 9994) + bytes(96) + record(1, struct.pack("<i2d", 1, 5.5, -6.25)) + record(2, line) + record(3, struct.pack("<i", 0))
+    field = b"NAME".ljust(11, b"\0") + b"C" + bytes(4) + bytes([8, 0]) + bytes(14)
+    dbf = bytes([3, 1, 1, 1]) + struct.pack("<IHH", 3, 32 + 32 + 1, 9) + bytes(20) + field + b"\r" + b"".join(b" " + n.ljust(8) for n in (b"point", b"line", b"none"))
+    assert files.shapefile_rows(shp, dbf) == [({"NAME": "point"}, [[(5.5, -6.25)]]), ({"NAME": "line"}, [[(0, 0), (1, 1), (2, 2)]]), ({"NAME": "none"}, [])]
+    (tmp_path / "x.shp").write_bytes(shp)
+    (tmp_path / "x.dbf").write_bytes(dbf)
+    found = files.shapes(spark, str(tmp_path / "x")).collect()
+    assert [r.attributes["NAME"] for r in found] == ["point", "line", "none"] and found[0].parts[0][0].lat == -6.25
+    with pytest.raises(ValueError):
+        files.shapefile_rows(shp[:-3], dbf)
+
+
+def test_zipped_lines(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x.txt", "eins\nzwei\n\n")
+    assert [r.line for r in files.zipped_lines(spark, str(tmp_path / "a.zip"), "x.txt").collect()] == ["eins", "zwei", ""]
+
+
+def test_backup_hides_secrets(spark, tmp_path):
+    rows = spark.createDataFrame([(1, {"api_key": "s3cret", "name": "x"})], "id int, properties map<string,string>")
+    kept = files.backup(rows, str(tmp_path / "b")).first()
+    assert kept.properties == {"api_key": "[redacted]", "name": "x"}
+    assert "| 1 |" in files.report(rows.select("id"), "Rows") and files.disabled_providers(spark).count() == 9
+
+
+def test_messages_by_status(spark):
+    good = '{"MessageType":"PositionReport","MetaData":{"MMSI":7,"time_utc":"2024-01-01 00:00:00"},"Message":{"PositionReport":{"SOG":"fast","Latitude":91,"longitude":5.5,"NavigationalStatus":3}}}'
+    cases = [good, "{", '{"error":"x"}', '{"MessageType":"Other"}', good.replace('"MMSI":7', '"MMSI":null'), "[]"]
+    found = ais.parsed(spark.createDataFrame([(c,) for c in cases], "raw string")).collect()
+    assert [r.status for r in found] == ["ok", "malformed", "fatal", "ignored", "malformed", "malformed"]
+    assert (found[0].mmsi, found[0].speed, found[0].lat, found[0].lng, found[0].nav_code) == (7, None, None, 5.5, 3)
+    with pytest.raises(Exception, match="not a message"):
+        ais.strict(ais.parsed(spark.createDataFrame([("{",)], "raw string"))).collect()
+
+
+def test_repeats_keep_a_key_known(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:09:00"), (3, "2024-01-01 00:18:00"), (4, "2024-01-01 00:28:01")], "e int, at string").withColumn("at", F.col("at").cast("timestamp")).withColumn("k", F.lit("x"))
+    assert sorted(r.e for r in ais.deduped(rows, ["k"], "at", "e").collect()) == [1, 4]
+
+
+def test_extension(spark, tmp_path):
+    from tideway import extension
+
+    class Fixed(extension.LocationProvider):
+        def __init__(self, name, rows):
+            self.name, self.rows = name, rows
+
+        def collect(self, spark, request):
+            if self.rows is None:
+                raise RuntimeError("down")
+            return spark.createDataFrame(self.rows, "location_id string, name string, kind string, lat double, lng double")
+
+    given = [Fixed("one", [("a", "A", "Port", 1.0, 2.0), ("b", "B", "Port", 1.0, 2.0)]), Fixed("two", None), Fixed("three", [("a", "AA", "Port", 1.0, 2.0)])]
+    rows, states = extension.collected(spark, given, {})
+    assert {r.location_id: (r.name, r.provider) for r in rows.collect()} == {"a": ("AA", "three"), "b": ("B", "one")} and states == {"one": "ok", "two": "failed: RuntimeError", "three": "ok"}
+    store = extension.ParquetStorage(str(tmp_path / "s"), "snapshot_id string, score double, expires_at timestamp")
+    make = lambda score: spark.sql(f"SELECT 's' AS snapshot_id, {score}D AS score, timestamp '2024-01-02 00:00:00' AS expires_at")
+    for batch, score in ((0, 1), (1, 2), (1, 2)):
+        store.write_snapshots(make(score), batch)
+    assert [r.score for r in store.latest_snapshots(spark).collect()] == [2.0]
+    assert [(r.score, r.status) for r in store.expire(spark, "2024-01-03 00:00:00").collect()] == [(None, "unavailable")]
+    extension.register_functions(spark)
+    assert tuple(spark.sql("SELECT clamp(5, 0, 1), clamp(NULL, 0, 1), gated(1, timestamp '2024-01-01 00:00:00', timestamp '2024-01-02 00:00:00')").first()) == (1.0, None, None)
+    with pytest.raises(ValueError):
+        extension.built(rows, lambda df: df)

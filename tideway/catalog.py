@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "provider_risk"  # recommend has no route on the smallest tables
+FLAGSHIP = "provider_risk"
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -24,16 +24,20 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 MODULES = (
+    "functions.geo",
+    "functions.scalars",
+    "functions.text",
     "operators.filters",
     "operators.joins",
     "operators.aggregates",
     "operators.ordering",
     "operators.graph",
-    "functions.scalars",
+    "operators.news",
     "plans.scoring",
+    "plans.recommend",
     "plans.audit",
     "streaming.ais",
-    "operators.native",
+    "sources.files",
 )
 
 

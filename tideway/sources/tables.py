@@ -1,26 +1,23 @@
-"""The base tables, and queries over them as SQL that Catalyst plans.
+"""The base tables and the silver entities as DataFrames, and the registration of operators over them.
 
-A query's text names base tables and silver entities (:mod:`tideway.sources.silver`).  Entities are prepended as common
-table expressions, tables become views over Parquet, so filters and column lists reach the scan.  The same text runs
-on any engine with these functions, which is how results are compared with another engine.
+An operator is a function of a :class:`Net`.  Beside it stands its answer as SQL for another engine, written apart from
+it over the same entities (:mod:`tideway.sources.silver`), which are put in front of that SQL as common table expressions.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tideway import catalog
-from tideway.sources.silver import ENTITIES, RECURSIVE
+from tideway.sources.silver import ENTITIES
 
-TABLES = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations", "embeddings")
-#: SQL functions that other engines have under these names.
-FUNCTIONS = {
-    "sha256(x STRING) RETURNS STRING": "sha2(x, 256)",
-    "regexp_matches(x STRING, p STRING) RETURNS BOOLEAN": "x RLIKE p",
-    "epoch(x TIMESTAMP_NTZ) RETURNS DOUBLE": "unix_micros(CAST(x AS TIMESTAMP)) / 1000000",
-}
+TABLES = (
+    "region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "pages",
+    "benchmark", "labels", "conversations", "embeddings",
+)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,26 +42,33 @@ def expanded(sql: str) -> str:
     own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql)
     if not ctes:
         return sql
-    recursive = "RECURSIVE " if (own and own[1]) or RECURSIVE & set(used) else ""
+    recursive = "RECURSIVE " if own and own[1] else ""
     return f"WITH {recursive}{ctes}" + (f",\n{sql[own.end():]}" if own else f"\n{sql}")
 
 
-def query(sql: str):
-    """A callable (spark, sf_dir) for the query."""
-    text = expanded(sql)
-    tables = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+class Net:
+    """Base tables and silver entities of one folder by name: ``net.orders``, ``net.segments``."""
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in tables:
-            read(spark, sf_dir, t).createOrReplaceTempView(t)
-        for head, body in FUNCTIONS.items():
-            if re.search(rf"\b{head.split('(')[0]}\(", text):
-                spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-        return spark.sql(text)
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
-    return run
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in TABLES:
+            return read(self.spark, self.sf_dir, name)
+        if name not in ENTITIES:
+            raise AttributeError(name)
+        text = expanded(f"SELECT * FROM {name}").replace("{", "{{").replace("}", "}}")
+        # Tables come as arguments, so no view of the session is created or replaced.
+        text = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", r"\1 {\2}", text)
+        used = {t: read(self.spark, self.sf_dir, t) for t in TABLES if f"{{{t}}}" in text}
+        return self.spark.sql(text, **used)
 
 
-def add(name: str, sql: str) -> None:
-    """Register a SQL query; the other engine runs the same text."""
-    catalog.register(name, query(sql), expanded(sql))
+def operator(sql: str | None = None, name: str | None = None) -> Callable[[Callable[[Net], DataFrame]], Callable[[Net], DataFrame]]:
+    """Register a function of a Net under ``name`` or its own name, with the other engine's SQL if there is one."""
+
+    def registered(make: Callable[[Net], DataFrame]) -> Callable[[Net], DataFrame]:
+        catalog.register(name or make.__name__, lambda spark, sf_dir: make(Net(spark, sf_dir)), expanded(sql) if sql else None)
+        return make
+
+    return registered

@@ -1,43 +1,322 @@
-"""Vessel messages as batch queries and as Structured Streaming (section J)."""
+"""Vessel messages: parsing, de-duplication, keyed state, windows and snapshots, as batch and as Structured Streaming (section J).
+
+Every function of this module that takes messages works on a batch and on a stream.  Sinks are Parquet folders that only
+grow: a micro-batch's rows carry its number, and the latest rows of a key are its state, so a batch that is written again
+after a failure changes nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tideway.functions.scalars import bounded_number, clean_name
+from tideway.operators.aggregates import areas, congestion, rounded, transitions
+from tideway.operators.filters import latest_state
+from tideway.sources.tables import Net, operator
+
+#: Message types with a position, and with static data only; seconds that a repeat is known for; the window
+#: and how long a snapshot is in force.
+POSITIONS = ("PositionReport", "StandardClassBPositionReport", "ExtendedClassBPositionReport", "LongRangeAisBroadcastMessage")
+STATICS = ("ShipStaticData", "StaticDataReport")
+TTL, WINDOW, IN_FORCE = 600, "60 minutes", "90 minutes"
+
+
+def parsed(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """``raw`` messages with status (ok, ignored, malformed, fatal) and their typed fields.
+
+    Ignored: a type that isn't used.  Malformed: no JSON, or no vessel number or time.  Fatal: an error that the provider
+    sends.  Keys of a report are taken in any case; a field out of its range is null.
+    """
+    tree = F.try_parse_json(column)
+    get = lambda path, kind="string": F.try_variant_get(tree, path, kind)
+    kind = get("$.MessageType")
+    report = F.from_json(F.coalesce(*[get(f"$.Message.{k}") for k in (*POSITIONS, *STATICS)]), "map<string,string>")
+    fields = F.transform_keys(report, lambda k, v: F.lower(k))
+    field = lambda name: F.try_element_at("fields", F.lit(name))
+    mmsi, at = get("$.MetaData.MMSI", "bigint"), F.try_to_timestamp(get("$.MetaData.time_utc"))
+    rows = raw.withColumns({"fields": fields, "kind": kind, "mmsi": mmsi, "observed_at": at, "failed": get("$.error"), "readable": tree.isNotNull()})
+    known = F.col("kind").isin(*POSITIONS, *STATICS)
+    bad = ~F.col("readable") | F.col("kind").isNull() | (known & (F.col("mmsi").isNull() | F.col("observed_at").isNull()))
+    status = F.when(F.col("failed").isNotNull(), "fatal").when(bad, "malformed").when(~known, "ignored").otherwise("ok")
+    rows = rows.withColumn("status", status)
+    ok = lambda c: F.when(F.col("status") == "ok", c)
+    return rows.withColumns(
+        {
+            "kind": ok(F.col("kind")),
+            "mmsi": ok(F.col("mmsi")),
+            "observed_at": ok(F.col("observed_at")),
+            "lat": ok(bounded_number(field("latitude"), -90, 90)),
+            "lng": ok(bounded_number(field("longitude"), -180, 180)),
+            "speed": ok(bounded_number(field("sog"), 0, 102.2)),
+            "nav_code": ok(bounded_number(field("navigationalstatus"), 0, 15).cast("int")),
+            "name": ok(clean_name(field("name"))),
+        }
+    ).drop("fields", "failed", "readable")
+
 
-from tideway import catalog
-from tideway.sources.tables import add, read
+def raw_messages(events: DataFrame) -> DataFrame:
+    """The events as a provider would send them: JSON text, of which some is broken, of unused types, or an error."""
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    report = F.struct(F.col("value").alias("Sog"), (k % 20).alias("NavigationalStatus"), (k - 50).alias("latitude"), ((F.col("user_id") * 7) % 360 - 180).alias("Longitude"))
+    static = F.struct(F.concat(F.lit("@MV "), F.col("user_id").cast("string"), F.lit("@@")).alias("Name"))
+    meta = F.struct(F.col("user_id").alias("MMSI"), at.alias("time_utc"))
+    sent = (
+        F.when(F.col("event_type") == "click", F.to_json(F.struct(F.lit("PositionReport").alias("MessageType"), meta.alias("MetaData"), F.struct(report.alias("PositionReport")).alias("Message"))))
+        .when(F.col("event_type") == "view", F.to_json(F.struct(F.lit("ShipStaticData").alias("MessageType"), meta.alias("MetaData"), F.struct(static.alias("ShipStaticData")).alias("Message"))))
+        .when(F.col("event_type") == "error", '{"error": "quota"}')
+        .otherwise('{"MessageType": "AidsToNavigationReport", "MetaData": {}}')
+    )
+    return events.select("event_id", F.when(F.col("event_id") % 29 == 0, F.substring(sent, 1, 25)).otherwise(sent).alias("raw"))
 
-add("ais_parse", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'fatal' WHEN event_type IN ('click', 'view') THEN 'ok' ELSE 'ignored' END AS status, CASE WHEN event_type IN ('click', 'view') THEN k END AS k FROM vessel_obs")
-add("ais_dedupe", "SELECT mmsi, speed100, min(event_id) AS first_event FROM vessel_obs GROUP BY mmsi, speed100")
-add("ais_coalesce", "SELECT mmsi, max(observed_at) AS observed_at, CAST(count(*) AS BIGINT) AS messages, max(nav_code) AS nav_code FROM vessel_obs GROUP BY mmsi")
-add("ais_tumbling_window", "SELECT date_trunc('hour', observed_at) AS window_start, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT mmsi) AS BIGINT) AS vessels FROM vessel_obs GROUP BY date_trunc('hour', observed_at)")
-add("ais_out_of_order", "SELECT event_id FROM (SELECT event_id, observed_at, max(observed_at) OVER (PARTITION BY mmsi ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM vessel_obs) x WHERE latest IS NULL OR observed_at >= latest")
-add("expired_congestion", "SELECT target_id, CASE WHEN max(observed_at) > TIMESTAMP '2024-01-25 00:00:00' THEN 'available' ELSE 'unavailable' END AS status FROM inside GROUP BY target_id")
 
+def deduped(messages: DataFrame, key: list[str], at: str, tie: str, ttl: int = TTL) -> DataFrame:
+    """Messages whose key wasn't seen in the ``ttl`` seconds before; every repeat makes the key known for as long again."""
+    by = Window.partitionBy(*key).orderBy(at, tie)
+    gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(by).cast("timestamp"))
+    return messages.withColumn("gap_", gap).filter(F.col("gap_").isNull() | (F.col("gap_") > ttl * 1_000_000)).drop("gap_")
 
-def observations(events: DataFrame) -> DataFrame:
-    """Typed messages of a batch or a stream of events."""
-    return events.select("event_id", F.col("user_id").alias("mmsi"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("value").alias("speed"), "event_type")
+
+def deduped_stream(messages: DataFrame, key: list[str], at: str, ttl: int = TTL) -> DataFrame:
+    """The same on a stream, with the last time of each key as state, which ends when event time has passed it by twice
+    the ``ttl``.  ``at`` (a timestamp) may go back: what is older than the last message of its key counts as a repeat."""
+
+    def keep(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(at, kind="stable")
+        last = state.get[0] if state.exists else None
+        fresh = []
+        for now in rows[at].astype("datetime64[us]").astype("int64"):
+            fresh.append(last is None or now - last > ttl * 1_000_000)
+            last = now if last is None else max(last, now)
+        state.update((int(last),))
+        state.setTimeoutTimestamp(max(int(last) // 1000 + 2000 * ttl, state.getCurrentWatermarkMs() + 1))
+        yield rows[fresh]
+
+    marked = messages.withWatermark(at, f"{2 * ttl} seconds")
+    return marked.groupBy(*key).applyInPandasWithState(keep, messages.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def moves_stream(inside: DataFrame) -> DataFrame:
+    """(target_id, mmsi, observed_at, event): arrivals and departures from observations (target_id, mmsi, observed_at,
+    event_id, inside).  Each vessel's last side of each target is kept as state; what is older than it is left out."""
+
+    def move(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["observed_at", "event_id"])
+        was, at = (state.get[0], pd.Timestamp(state.get[1], unit="us")) if state.exists else (None, None)
+        out = []
+        for now, inside_ in zip(rows["observed_at"], rows["inside"], strict=True):
+            if at is not None and now < at:
+                continue
+            if was is not None and was != inside_:
+                out.append((*key, now, "arrival" if inside_ else "departure"))
+            was, at = bool(inside_), now
+        if was is not None:
+            state.update((was, int(at.value // 1000) if at.unit == "ns" else int(at.as_unit("us").value)))
+        if out:
+            yield pd.DataFrame(out, columns=["target_id", "mmsi", "observed_at", "event"])
+
+    return inside.groupBy("target_id", "mmsi").applyInPandasWithState(move, "target_id string, mmsi long, observed_at timestamp_ntz, event string", "inside boolean, at long", "append", GroupStateTimeout.NoTimeout)
 
 
 def hourly_counts(messages: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Messages by event-time hour; on a stream, state older than ``late`` behind the newest event is given up."""
+    """Messages and vessels by event-time hour; a stream gives up state older than ``late`` behind its newest event."""
     if messages.isStreaming:
         messages = messages.withWatermark("observed_at", late)
-    return messages.groupBy(F.window("observed_at", "60 minutes").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
+    counts = messages.groupBy(F.window("observed_at", WINDOW).alias("w")).agg(F.count("*").alias("n"), F.approx_count_distinct("mmsi", 0.01).alias("vessels"))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n", "vessels")
+
+
+def sunk(df: DataFrame, folder: str, mode: str = "append") -> StreamingQuery:
+    """Start a stream that appends its micro-batches, numbered, to a Parquet folder; its checkpoint lies beside it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    return df.writeStream.outputMode(mode).foreachBatch(lambda b, n: write(b.drop("batch") if "batch" in b.columns else b, n)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def latest_rows(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of each key the row of the last micro-batch that wrote it."""
+    others = [c for c in rows.columns if c not in (*key, "batch")]
+    return rows.groupBy(*key).agg(F.max(F.struct("batch", *others)).alias("m")).select(*key, *[f"m.{c}" for c in others])
+
+
+def shared_folder(t: Net, name: str) -> str:
+    """A new folder in the one that driver and executors share."""
+    spark = t.spark
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    where = where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tideway-steps"
+    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def event_stream(t: Net) -> DataFrame:
+    """The events table as a stream of files."""
+    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/events.parquet*")
+
+
+def rows_of(folder: str, t: Net, schema: str) -> DataFrame:
+    return t.spark.read.schema(schema + ", batch long").parquet(f"{folder}/rows/*")
+
+
+PARSED = """(SELECT event_id, CASE WHEN event_id % 29 = 0 AND event_type = 'error' THEN 'fatal_' WHEN event_id % 29 = 0 THEN 'malformed' WHEN event_type = 'error' THEN 'fatal' WHEN event_type IN ('click', 'view') THEN 'ok' ELSE 'ignored' END AS s, event_type, user_id, ts, value,
+  CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events)"""
+
+
+@operator(f"""SELECT event_id, CASE WHEN s = 'fatal_' THEN 'fatal' ELSE s END AS status, CASE WHEN s = 'ok' THEN user_id END AS mmsi, CASE WHEN s = 'ok' AND event_type = 'click' AND value <= 102.2e0 THEN value END AS speed,
+  CASE WHEN s = 'ok' AND event_type = 'click' AND k % 20 <= 15 THEN k % 20 END AS nav_code, CASE WHEN s = 'ok' AND event_type = 'view' THEN concat('MV ', CAST(user_id AS STRING)) END AS name FROM {PARSED} p""")
+def ais_parse(t: Net) -> DataFrame:
+    return parsed(raw_messages(t.events)).select("event_id", "status", "mmsi", "speed", "nav_code", "name")
+
+
+@operator("""SELECT event_id FROM (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap FROM events) x WHERE gap IS NULL OR gap > 7200000000""")
+def ais_dedupe(t: Net) -> DataFrame:
+    return deduped(t.events, ["user_id", "event_type"], "ts", "event_id", 7200).select("event_id")
+
+
+@operator("""SELECT event_id FROM (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap FROM events) x WHERE gap IS NULL OR gap > 7200000000""")
+def ais_dedupe_stream(t: Net) -> DataFrame:
+    folder = shared_folder(t, "dedupe")
+    stream = event_stream(t).select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    sunk(deduped_stream(stream, ["user_id", "event_type"], "ts", 7200), folder).awaitTermination()
+    return rows_of(folder, t, "event_id long").select("event_id")
+
+
+@operator("""WITH m AS (SELECT *, date_trunc('minute', observed_at) AS flush FROM vessel_obs),
+a AS (SELECT mmsi, flush, observed_at, speed100, row_number() OVER (PARTITION BY mmsi, flush ORDER BY observed_at DESC, event_id DESC) AS r FROM m),
+b AS (SELECT mmsi, flush, nav_code, row_number() OVER (PARTITION BY mmsi, flush ORDER BY observed_at DESC, event_id DESC) AS r FROM m WHERE event_type <> 'error')
+SELECT a.mmsi, a.flush, a.observed_at, a.speed100, b.nav_code FROM a LEFT JOIN b ON a.mmsi = b.mmsi AND a.flush = b.flush AND b.r = 1 WHERE a.r = 1""")
+def ais_coalesce(t: Net) -> DataFrame:
+    """All messages of a vessel between two flushes as one: the last position, and the last static data that is there."""
+    rows = t.vessel_obs.withColumns({"flush": F.date_trunc("minute", "observed_at").cast("timestamp_ntz"), "nav_code": F.when(F.col("event_type") != "error", F.col("nav_code"))})
+    keyed = rows.withColumn("key", F.struct("mmsi", "flush"))
+    return latest_state(keyed, "key", "observed_at", "event_id", ["speed100"], ["nav_code"]).select("key.mmsi", "key.flush", "observed_at", "speed100", "nav_code")
+
+
+MOVED = """(SELECT target_id, mmsi, observed_at, CASE WHEN now_in THEN 'arrival' ELSE 'departure' END AS event FROM (SELECT target_id, mmsi, observed_at, now_in, lag(now_in) OVER (PARTITION BY target_id, mmsi ORDER BY observed_at, event_id) AS was FROM
+ (SELECT t.target_id, p.mmsi, p.observed_at, p.event_id, lat BETWEEN south AND north AND lng BETWEEN west AND east AS now_in FROM positions p CROSS JOIN targets t) x) y WHERE was <> now_in)"""
+
+
+@operator(f"SELECT target_id, mmsi, observed_at, event FROM {MOVED} m")
+def ais_transitions_stream(t: Net) -> DataFrame:
+    """Arrivals and departures by a stream with keyed state."""
+    folder = shared_folder(t, "moves")
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("long")
+    seen = event_stream(t).select("event_id", F.col("user_id").alias("mmsi"), F.col("ts").alias("observed_at"), ((k - 50) * 1.0).alias("lat"), (F.col("user_id") * 7 % 360 - 180.0).alias("lng"))
+    box = F.broadcast(t.targets.select("target_id", "south", "west", "north", "east"))
+    inside = seen.join(box).select("target_id", "mmsi", "observed_at", "event_id", F.expr("lat between south and north and lng between west and east").alias("inside"))
+    sunk(moves_stream(inside), folder).awaitTermination()
+    return rows_of(folder, t, "target_id string, mmsi long, observed_at timestamp_ntz, event string").drop("batch")
+
+
+@operator("""SELECT date_trunc('hour', observed_at) AS window_start, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT mmsi) AS BIGINT) AS vessels FROM vessel_obs GROUP BY date_trunc('hour', observed_at)""")
+def ais_tumbling_window(t: Net) -> DataFrame:
+    """Hours by event time, aligned to the epoch; a stream emits a window again when it changes, and the last one counts."""
+    folder = shared_folder(t, "windows")
+    stream = event_stream(t).select(F.col("user_id").alias("mmsi"), F.col("ts").cast("timestamp").alias("observed_at"))
+    sunk(hourly_counts(stream), folder, "update").awaitTermination()
+    return latest_rows(rows_of(folder, t, "window_start timestamp_ntz, n long, vessels long"), ["window_start"])
+
+
+@operator("""SELECT event_id FROM (SELECT event_id, observed_at, max(observed_at) OVER (PARTITION BY mmsi ORDER BY (event_id * 37) % 1009, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM vessel_obs) x WHERE latest IS NULL OR observed_at >= latest""")
+def ais_out_of_order(t: Net) -> DataFrame:
+    """Of messages that arrive in another order, those that aren't older than what their vessel has sent already."""
+    arrival = Window.partitionBy("mmsi").orderBy((F.col("event_id") * 37) % 1009, "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.max("observed_at").over(arrival)
+    return t.vessel_obs.select("event_id", "observed_at", latest.alias("latest")).filter("latest is null or observed_at >= latest").select("event_id")
+
+
+AT = "TIMESTAMP '2024-01-25 12:30:00'"
+
+
+@operator(f"""SELECT target_id, CAST(count(CASE WHEN observed_at >= date_trunc('hour', {AT}) THEN 1 END) AS BIGINT) AS events, CAST(count(DISTINCT mmsi) AS BIGINT) AS vessels FROM inside
+WHERE observed_at >= date_trunc('hour', {AT}) - INTERVAL 60 MINUTES AND observed_at <= {AT} GROUP BY target_id""")
+def ais_pruned_state(t: Net) -> DataFrame:
+    """What is left of the state at a time: events of the present window, and vessels seen in it or the one before."""
+    now = F.expr("timestamp_ntz '2024-01-25 12:30:00'")
+    start = F.date_trunc("hour", now).cast("timestamp_ntz")
+    left = t.inside.filter((F.col("observed_at") >= start - F.expr("INTERVAL 60 MINUTES")) & (F.col("observed_at") <= now))
+    return left.groupBy("target_id").agg(F.count_if(F.col("observed_at") >= start).alias("events"), F.count_distinct("mmsi").alias("vessels"))
+
+
+def snapshots(t: Net) -> DataFrame:
+    """A snapshot for each target and hour with an observation: its id, congestion, and how long it is in force."""
+    hour = F.date_trunc("hour", "observed_at").cast("timestamp_ntz")
+    keyed = lambda rows: rows.withColumn("hour", hour).withColumn("target_id", F.concat_ws("|", "target_id", F.date_format("hour", "yyyyMMddHH")))
+    found = congestion(keyed(t.inside), transitions(keyed(areas(t))), 1.0)
+    return found.withColumnRenamed("target_id", "key").withColumn("expires_at", F.col("observed_at") + F.expr(f"INTERVAL {IN_FORCE}"))
+
+
+@operator("""SELECT concat('aisstream:', target_id, ':', strftime(hour, '%Y%m%d%H')) AS snapshot_id, CAST(count(DISTINCT mmsi) AS BIGINT) AS vessels, max(observed_at) AS observed_at, max(observed_at) + INTERVAL 90 MINUTES AS expires_at
+FROM (SELECT *, date_trunc('hour', observed_at) AS hour FROM inside) x GROUP BY target_id, hour""")
+def ais_snapshots(t: Net) -> DataFrame:
+    found = snapshots(t).withColumn("snapshot_id", F.concat(F.lit("aisstream:"), F.regexp_replace("key", r"\|", ":")))
+    return found.select("snapshot_id", "vessels", "observed_at", "expires_at")
+
+
+@operator("""SELECT target_id, CASE WHEN max(observed_at) + INTERVAL 90 MINUTES > TIMESTAMP '2024-01-25 00:00:00' THEN 'available' ELSE 'unavailable' END AS status,
+  CASE WHEN max(observed_at) + INTERVAL 90 MINUTES > TIMESTAMP '2024-01-25 00:00:00' THEN CAST(count(DISTINCT mmsi) AS BIGINT) END AS congestion
+FROM inside WHERE target_id <> 'T1' OR observed_at < TIMESTAMP '2024-01-03 00:00:00' GROUP BY target_id""")
+def expired_congestion(t: Net) -> DataFrame:
+    """Congestion as read at a time: what has expired is unavailable, without a sweep that changes stored rows."""
+    seen = t.inside.filter("target_id <> 'T1' or observed_at < timestamp_ntz '2024-01-03 00:00:00'")
+    found = seen.groupBy("target_id").agg(F.max("observed_at").alias("at"), F.count_distinct("mmsi").alias("n"))
+    live = F.col("at") + F.expr(f"INTERVAL {IN_FORCE}") > F.expr("timestamp_ntz '2024-01-25 00:00:00'")
+    return found.select("target_id", F.when(live, "available").otherwise("unavailable").alias("status"), F.when(live, F.col("n")).alias("congestion"))
+
+
+def health(query: StreamingQuery, messages: DataFrame) -> DataFrame:
+    """(counter, value): what a stream read, and its messages by status."""
+    spark = messages.sparkSession
+    read = sum(p["numInputRows"] for p in query.recentProgress)
+    by_status = messages.groupBy("status").agg(F.sum("n").alias("value")).select(F.col("status").alias("counter"), "value")
+    return spark.createDataFrame([("received", read)], "counter string, value long").unionByName(by_status)
+
+
+@operator(f"""SELECT 'received' AS counter, CAST(count(*) AS BIGINT) AS value FROM events UNION ALL SELECT CASE WHEN s = 'fatal_' THEN 'fatal' ELSE s END, CAST(count(*) AS BIGINT) FROM {PARSED} p GROUP BY CASE WHEN s = 'fatal_' THEN 'fatal' ELSE s END""")
+def stream_health(t: Net) -> DataFrame:
+    folder = shared_folder(t, "health")
+    counted = parsed(raw_messages(event_stream(t))).groupBy("status").agg(F.count("*").alias("n"))
+    query = sunk(counted, folder, "update")
+    query.awaitTermination()
+    return health(query, latest_rows(rows_of(folder, t, "status string, n long"), ["status"]))
+
+
+def lines_stream(t: Net, folder: str) -> DataFrame:
+    """Messages of JSON-lines files as a stream; blank lines are skipped."""
+    return t.spark.readStream.text(folder).filter(F.trim("value") != "").select(F.col("value").alias("raw"))
+
 
+class BadMessage(ValueError):
+    """A replayed file holds a line that isn't a message."""
 
-def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hourly counts by a stream that reads the events once and ends; the sink table is in the shared folder."""
-    import uuid
 
-    events = read(spark, sf_dir, "events")
-    name = f"replay_{uuid.uuid4().hex[:12]}"
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    done = hourly_counts(observations(stream)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.table(name)
+def strict(messages: DataFrame) -> DataFrame:
+    """The messages, of which a malformed one ends the query."""
+    wrong = F.raise_error(F.concat(F.lit("not a message: "), F.substring("raw", 1, 80)))
+    return messages.filter(F.when(F.col("status") == "malformed", wrong.cast("boolean")).otherwise(F.lit(True)))
 
 
-catalog.register("ais_replay", replay, "SELECT date_trunc('hour', ts) AS window_start, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY date_trunc('hour', ts)")
+@operator(f"""SELECT date_trunc('hour', ts) AS window_start, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN event_type = 'click' AND value <= 102.2e0 THEN value END) + 1e-10, 4) AS speed FROM {PARSED} p WHERE s = 'ok' GROUP BY date_trunc('hour', ts)""")
+def ais_replay(t: Net) -> DataFrame:
+    """Messages from a file of JSON lines through the whole stream, once, and then at rest: a dry run writes nothing else."""
+    folder = shared_folder(t, "replay")
+    lines = raw_messages(t.events).filter("event_id % 29 <> 0").select(F.explode(F.array("raw", F.lit(""))).alias("value"))
+    lines.write.text(f"{folder}/lines")
+    messages = strict(parsed(lines_stream(t, f"{folder}/lines"))).filter("status = 'ok'")
+    sunk(messages.select("mmsi", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), "speed"), folder).awaitTermination()
+    rows = rows_of(folder, t, "mmsi long, observed_at timestamp_ntz, speed double")
+    hour: Column = F.date_trunc("hour", "observed_at").cast("timestamp_ntz")
+    return rows.groupBy(hour.alias("window_start")).agg(F.count("*").alias("n"), rounded(F.avg("speed"), 4).alias("speed"))
