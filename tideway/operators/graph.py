@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tideway.functions.geo import haversine_sql
 from tideway.operators.aggregates import rounded
 from tideway.operators.filters import items
-from tideway.operators.joins import mode_feasibility, named
+from tideway.operators.joins import REGIONAL, mode_feasibility, named, regional
 from tideway.sources.tables import Net, operator
 
 OBJECTIVES = {"min_cost": "w_cost", "min_risk": "w_risk", "fastest": "w_time", "balanced": "w_balanced"}
@@ -270,13 +270,13 @@ def route_signature(t: Net) -> DataFrame:
     return first.join(second, "to_id").select(F.concat_ws("|", "x", "y").alias("signature")).withColumn("route_id", route_id(F.col("signature")))
 
 
-@operator("""WITH RECURSIVE pairs AS (SELECT DISTINCT from_id AS a, to_id AS b FROM segments WHERE data_status = 'synthetic' AND feasibility = 'invalid_cross_ocean' UNION SELECT DISTINCT to_id, from_id FROM segments WHERE data_status = 'synthetic' AND feasibility = 'invalid_cross_ocean'),
+@operator(f"""WITH RECURSIVE pairs AS (SELECT DISTINCT from_id AS a, to_id AS b FROM {REGIONAL} x UNION SELECT DISTINCT to_id, from_id FROM {REGIONAL} x),
 reach AS (SELECT a, a AS b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
 SELECT component, CAST(count(*) AS BIGINT) AS size FROM (SELECT a, min(b) AS component FROM reach GROUP BY a) x GROUP BY component
 UNION ALL SELECT l.location_id, CAST(1 AS BIGINT) FROM locations l WHERE l.location_id NOT IN (SELECT a FROM pairs)""")
 def component_sizes(t: Net) -> DataFrame:
-    """Sizes of the weakly connected components that synthetic, infeasible segments make; places without any are alone."""
-    found = components(t.segments.filter("data_status = 'synthetic' and feasibility = 'invalid_cross_ocean'").select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+    """Sizes of the weakly connected components of the regional sea network; places outside it are alone."""
+    found = components(regional(t).select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
     every = t.locations.join(found, F.col("location_id") == F.col("node"), "left").select(F.coalesce("component", "location_id").alias("component"))
     return every.groupBy("component").agg(F.count("*").alias("size"))
 

@@ -100,13 +100,22 @@ def missing_canonical_edge(t: Net) -> DataFrame:
     return t.supplier.join(t.suppliers_from, F.col("s_suppkey") == F.col("supplier_id"), "left_anti").select("s_suppkey")
 
 
-@operator("""SELECT location_id FROM locations WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.data_status = 'synthetic' AND s.feasibility = 'invalid_cross_ocean' AND s.from_id = location_id)
-AND NOT EXISTS (SELECT 1 FROM segments s WHERE s.data_status = 'synthetic' AND s.feasibility = 'invalid_cross_ocean' AND s.to_id = location_id)
+REGIONAL = """(SELECT s.from_id, s.to_id FROM segments s JOIN locations a ON s.from_id = a.location_id JOIN locations b ON s.to_id = b.location_id
+  WHERE s.mode = 'sea' AND a.kind = 'Port' AND b.kind = 'Port' AND a.region = b.region)"""
+
+
+def regional(t: Net) -> DataFrame:
+    """Sea segments between two ports of one region."""
+    ports = t.segments.filter("mode = 'sea'").join(named(t, "from", "kind", "region"), "from_id").join(named(t, "to", "kind", "region"), "to_id")
+    return ports.filter("from_kind = 'Port' and to_kind = 'Port' and from_region = to_region").select("from_id", "to_id")
+
+
+@operator(f"""SELECT location_id FROM locations WHERE NOT EXISTS (SELECT 1 FROM {REGIONAL} s WHERE s.from_id = location_id)
+AND NOT EXISTS (SELECT 1 FROM {REGIONAL} s WHERE s.to_id = location_id)
 UNION ALL SELECT 1000""")
 def orphan_nodes(t: Net) -> DataFrame:
-    """Nodes without any synthetic, infeasible edge, out or in; one node without an edge of any kind is added."""
-    odd = t.segments.filter("data_status = 'synthetic' and feasibility = 'invalid_cross_ocean'")
-    used = odd.select(F.explode(F.array("from_id", "to_id")).alias("location_id"))
+    """Nodes without any edge of the regional sea network, out or in; one node without an edge of any kind is added."""
+    used = regional(t).select(F.explode(F.array("from_id", "to_id")).alias("location_id"))
     return t.locations.select("location_id").union(t.spark.range(1000, 1001).select(F.col("id").cast("int"))).join(used, "location_id", "left_anti")
 
 
