@@ -553,3 +553,12 @@ def test_pipeline_of_odd_tables(spark, sf_dir, docs, none):
             assert found.columns == rows.columns, name
             assert found.count() <= rows.count()
         assert p.STAGES[-1][1](spark, rows, sf_dir).count() == rows.count()
+
+
+@pytest.mark.parametrize("name", ["op1_jaccard_join", "op5_substring_dedup", "op9_warc"])
+def test_against_sql(name, spark, sf_dir):
+    import oracle
+
+    from tideway.llm import registry
+
+    assert oracle.compare(spark, oracle.duck(sf_dir), sf_dir, registry.QUERIES[name], registry.ORACLE_SQL[name]) == ""

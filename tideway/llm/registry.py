@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideway.llm import decontaminate, jaccard_join, language_id, pieces, quality, sharding, substring_dedup, token_counts, token_store, warc
+from tideway.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -20,5 +21,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": warc.op9_warc,
     "op10_token_store": token_store.op10_token_store,
 }
-
-ORACLE_SQL: dict[str, str] = {}
