@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideway.llm.common import table, utf8
+from tideway.llm.common import table, utf8, written
 
 CELLS = 1 << 16
+#: Rows of a key that are numbered at a time.
+STEP = 10_000
 VIRTUAL = 64
 
 
@@ -72,7 +74,8 @@ def shard_by_ring(docs: DataFrame, shards: int = 16, slack: float = 0.0, virtual
 
     counted = ids.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
     in_arc = Window.partitionBy("at").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = arcs.join(counted, "cell").select("cell", "at", "shard", "n", F.coalesce(F.sum("n").over(in_arc), F.lit(0)).alias("base")).persist()
+    cells = arcs.join(counted, "cell").select("cell", "at", "shard", "n", F.coalesce(F.sum("n").over(in_arc), F.lit(0)).alias("base"))
+    cells = written(cells, "cells")  # CELLS rows at most
     by_arc = [tuple(r) for r in cells.groupBy("at").agg(F.min("shard").alias("shard"), F.sum("n").alias("n")).orderBy("at").select("at", "shard", "n").collect()]
     every = [tuple(r) for r in nodes.orderBy("at").select("at", "shard").collect()]
     found = {at: n for at, _, n in by_arc}
@@ -94,9 +97,11 @@ def shard_by_ring(docs: DataFrame, shards: int = 16, slack: float = 0.0, virtual
     )
     ranked = keyed.withColumn("cell", cell).withColumn("up_to", F.sum("n").over(Window.partitionBy("cell").orderBy("id", "size", "crc").rowsBetween(Window.unboundedPreceding, 0)))
     placed = ranked.join(F.broadcast(cells.select("cell", "at", "base")), "cell").join(F.broadcast(by_at), "at")
-    one = placed.select(
-        "id", "size", "crc", "spans", F.explode(F.sequence(F.col("base") + F.col("up_to") - F.col("n"), F.col("base") + F.col("up_to") - 1)).alias("rank")
-    ).withColumn("span", F.filter("spans", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"]))[0])
+    begin, last = F.col("base") + F.col("up_to") - F.col("n"), F.col("base") + F.col("up_to") - 1
+    # In two steps, so that a key with very many rows never becomes one long array.
+    steps = placed.select("id", "size", "crc", "spans", last.alias("last"), F.explode(F.sequence(begin, last, F.lit(STEP))).alias("at"))
+    one = steps.select("id", "size", "crc", "spans", F.explode(F.sequence("at", F.least(F.col("at") + STEP - 1, "last"))).alias("rank"))
+    one = one.withColumn("span", F.filter("spans", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"]))[0])
     return one.select(
         F.col("id").alias(id_col),
         "size",
