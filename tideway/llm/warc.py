@@ -75,8 +75,24 @@ def write_arc(records: list[tuple[dict[str, str], bytes]], version: int, name: s
     return b"".join(out)
 
 
+def unzipped(data: bytes) -> bytes:
+    """The content of gzip members one after the other, as ARC files are kept; other data as it is."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        out.append(z.decompress(data))
+        if not z.eof:
+            raise ValueError("a gzip member has no end")
+        data = z.unused_data
+    if out and data.strip(b"\0"):
+        raise ValueError("something else follows the gzip members")
+    return b"".join(out) if out else data
+
+
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file, its version block first; a line or length that doesn't fit raises ValueError."""
+    """The records of an ARC file, plain or gzipped by record, its version block first; a line or length that doesn't fit
+    raises ValueError."""
+    data = unzipped(data)
     at, version = 0, 0
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
@@ -249,7 +265,8 @@ def write_pages(pages: DataFrame, folder: str, date: str = "20240101000000", rev
 
 
 def read_pages(manifest: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each page record, verified while read."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each page record, verified while read: blocks
+    and payloads against their digests, and revisits against a response of the page and digest that they refer to."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
@@ -270,7 +287,12 @@ def read_pages(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"{uri} has {seen} records, the manifest {n}")
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
 
-    return by_file(manifest.select("uri", "records")).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    rows = written(by_file(manifest.select("uri", "records")).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "records")
+    wanted = rows.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    lost = wanted.join(rows.filter("record_type = 'response'").select("page_id", "payload_digest"), ["page_id", "payload_digest"], "left_anti").first()
+    if lost:
+        raise ValueError(f"no response of page {lost['page_id']} has the payload {lost['payload_digest']} that a revisit refers to")
+    return rows
 
 
 def convert_arcs(files: DataFrame, folder: str) -> DataFrame:
