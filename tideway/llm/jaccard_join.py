@@ -206,9 +206,10 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     n = pairs.count()
     ends = pairs.select("t", F.col("a").alias("id")).union(pairs.select("t", "b")).distinct()
-    parts = ends.groupBy("t").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    block = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
-    placed = pairs.join(parts, "t").select("a", "b", "t", F.least(block("a"), block("b")).alias("x"), F.greatest(block("a"), block("b")).alias("y"))
+    # Only places with more than one block need to be known, one in MEMBERS ends at most: pairs of a hot place don't move.
+    parts = written(ends.groupBy("t").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")).filter("parts > 1"), "parts")
+    block = lambda c: F.pmod(F.xxhash64(c), F.coalesce("parts", F.lit(1))).cast("int")
+    placed = joined_small(pairs, parts, "t", "left", parts.count(), BROADCAST_ROWS).select("a", "b", "t", F.least(block("a"), block("b")).alias("x"), F.greatest(block("a"), block("b")).alias("y"))
     members = placed.select("t", "x", "y", F.col("a").alias("id")).union(placed.select("t", "x", "y", "b")).distinct()
     bodies = joined_small(rows, members, "id", "inner", 2 * n, BROADCAST_ROWS)
 
