@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy, with odd rows in every table."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import math
@@ -453,6 +454,10 @@ def test_arc_versions(spark, tmp_path):
         assert "WARC-Date: 1997-01-02T03:04:05Z" in made and "WARC-Type: response" in made and warc.sha1(b"hello\n\nworld") in made
         assert "WARC-Type: resource" in warc.to_warc(found[2]).decode() and "WARC-Date: 1998-01-01T00:00:00Z" in warc.to_warc(found[2]).decode()
         assert "WARC-Type: warcinfo" in warc.to_warc(found[0]).decode()
+        zipped = b"".join(gzip.compress(arc[a:e]) for a, e in ((0, 40), (40, 90), (90, len(arc))))
+        assert list(warc.read_arc(zipped)) == found
+        with pytest.raises(ValueError):
+            list(warc.read_arc(zipped[:-9]))
         for bad in (arc[:-30], b"no archive\n", arc.replace(b" %d\n" % len(body), b" 4x\n")):
             with pytest.raises(ValueError):
                 list(warc.read_arc(bad))
@@ -562,3 +567,30 @@ def test_against_sql(name, spark, sf_dir):
     from tideway.llm import registry
 
     assert oracle.compare(spark, oracle.duck(sf_dir), sf_dir, registry.QUERIES[name], registry.ORACLE_SQL[name]) == ""
+
+
+def test_ring_sharding_of_one_key(spark, monkeypatch):
+    """A key of very many rows is numbered in steps and spread over shards."""
+    monkeypatch.setattr(sharding, "STEP", 7)
+    df = spark.range(300).select(F.when(F.col("id") < 200, 5).otherwise(F.col("id")).cast("long").alias("doc_id"), F.lit("x").alias("text"))
+    found = sharding.shard_by_ring(df, shards=4).collect()
+    slots = defaultdict(list)
+    for r in found:
+        slots[r.shard].append(r.slot)
+    assert len(found) == 300 and all(sorted(v) == list(range(75)) for v in slots.values()) and len(slots) == 4
+
+
+def test_revisits_need_their_response(spark):
+    manifest = warc.write_pages(spark.createDataFrame([(1, "u", "a"), (2, "u", "a")], "page_id long, url string, html string").coalesce(1), fresh_dir(spark, "warc"))
+    assert {r.record_type for r in warc.read_pages(manifest).collect()} == {"response", "revisit"}
+    uri = "/" + manifest.first()["uri"].removeprefix("file:").lstrip("/")
+    members = []
+    data = open(uri, "rb").read()
+    while data:
+        z = zlib.decompressobj(31)
+        members.append(z.decompress(data))
+        data = z.unused_data
+    kept = [m for m in members if b"WARC-Type: response" not in m]
+    open(uri, "wb").write(b"".join(warc.gzipped(m) for m in kept))
+    with pytest.raises(ValueError, match="no response of page 1"):
+        warc.read_pages(manifest.withColumn("records", F.lit(len(kept)).cast("long")))
