@@ -96,10 +96,10 @@ def test_titles_of_one_event(spark):
     now = F.expr("timestamp '2024-01-10 00:00:00'")
     rows = news.prepared(spark.createDataFrame(made, "article_id long, zone_id string, domain string, title string, seen_at string, url string"), now)
     assert {r.article_id for r in rows.collect()} == {1, 2, 3, 4, 5, 6, 7, 8, 9, 11}  # 10 lies in the future
-    assert {(r.a, r.b) for r in news.similar_titles(rows).collect()} == {(1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (8, 9)} - {(1, 3), (2, 3)}
+    assert {(r.a, r.b) for r in news.similar_titles(rows).collect()} == {(1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (8, 9)}
     of = {r.article_id: r.cluster for r in news.clusters(rows).collect()}
     # 3 shares 11 of 13 tokens with 1 (0.846); the war makes 5 another category; 6 is too late; 5 and 11 have one URL
-    assert of[1] == of[2] == of[4] and of[8] == of[9] == 8 and of[5] == of[11] == 5 and of[6] == 6 and of[7] == 7
+    assert of[1] == of[2] == of[3] == of[4] == 1 and of[8] == of[9] == 8 and of[5] == of[11] == 5 and of[6] == 6 and of[7] == 7
 
 
 def test_zone_score_has_known_values(spark):

@@ -145,6 +145,28 @@ def clipped_share(lat1: Column, lng1: Column, lat2: Column, lng2: Column, ring:
     return F.greatest(F.lit(0.0), found["hi"] - found["lo"])
 
 
+def simplified(points: list[tuple[float, float]], tolerance: float = 0.005) -> list[tuple[float, float]]:
+    """The fewest of a line's points, both ends included, from which no other lies further than ``tolerance`` degrees off
+    its part of the line.  Parts are worked off a list, so a long line needs no deep recursion."""
+    if len(points) < 3:
+        return list(points)
+    kept, parts = {0, len(points) - 1}, [(0, len(points) - 1)]
+    while parts:
+        a, e = parts.pop()
+        (x1, y1), (x2, y2) = points[a], points[e]
+        length = math.hypot(x2 - x1, y2 - y1)
+        far, at = tolerance, None
+        for k in range(a + 1, e):
+            x, y = points[k]
+            off = math.hypot(x - x1, y - y1) if not length else abs((x2 - x1) * (y1 - y) - (x1 - x) * (y2 - y1)) / length
+            if off > far:
+                far, at = off, k
+        if at is not None:
+            kept.add(at)
+            parts += [(a, at), (at, e)]
+    return [points[k] for k in sorted(kept)]
+
+
 def pairs(t: Net) -> DataFrame:
     """Distinct pairs of locations that a segment joins."""
     end = lambda x, k: t.locations.select(F.col("location_id").alias(x), F.col("lat").alias(f"lat{k}"), F.col("lng").alias(f"lng{k}"))

@@ -145,7 +145,7 @@ SEEN = """(SELECT article_id, CASE WHEN seen <= TIMESTAMP '2024-01-10 12:05:00'
 NEWS_NOW = "TIMESTAMP '2024-01-10 12:00:00'"
 
 
-@operator()
+@operator(None, "clean_text")
 def clean_titles(t: Net) -> DataFrame:
     titles = t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
     return clean_text(titles, "title")

@@ -218,6 +218,15 @@ def quality(routes: DataFrame) -> DataFrame:
     return counted.unpivot([], list(rules), "check", "violations")
 
 
+def methodology(request: Request) -> str:
+    """How the routes of a request are scored, in words."""
+    w = request.resolved()
+    return (
+        f"final score = {w.risk:g} x risk utility + {w.cost:g} x cost utility + {w.duration:g} x duration utility - 20 x (weighted share that isn't certain), "
+        f"from 0 to 100; utilities fall evenly over risk {BOUNDS['risk']}, USD a vehicle {BOUNDS['cost']} and days {BOUNDS['duration']}; what is unknown has utility 0."
+    )
+
+
 OBSERVED = (
     "CASE n % 6 WHEN 0 THEN 'observed' WHEN 1 THEN 'quoted' WHEN 2 THEN 'estimated' END AS obs_status", "cost * 10 AS obs_amount", "'USD' AS obs_currency", "n % 3 AS obs_quantity",
     "CASE WHEN n % 2 = 0 THEN 'vehicle' END AS obs_cargo", "expires_at AS obs_until", "CASE n % 4 WHEN 0 THEN 'observed' END AS days_status", "time_days AS days_p50", "time_days + 1 AS days_p90", "CASE WHEN n % 2 = 0 THEN time_days END AS known_days",
