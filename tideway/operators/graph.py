@@ -224,14 +224,14 @@ def risk_opt_value(t: Net) -> DataFrame:
     return rows.select("segment_id", risk_value(F.col("risk"), F.col("completeness")).alias("w_risk"))
 
 
-@operator(relaxed_sql("[1, 4]", 12) + " SELECT origin, node, hops, round(length, 6) AS length, signature FROM d12 WHERE hops > 0")
+@operator(relaxed_sql("[3, 13]", 12) + " SELECT origin, node, hops, round(length, 6) AS length, signature FROM d12 WHERE hops > 0")
 def shortest_path(t: Net) -> DataFrame:
     """The cheapest paths from two origins to every place."""
-    found = shortest_paths(weighted(t.gated), [1, 4], "w_cost").filter("hops > 0")
+    found = shortest_paths(weighted(t.gated), [3, 13], "w_cost").filter("hops > 0")
     return found.select("origin", "node", "hops", F.round("length", 6).alias("length"), "signature")
 
 
-SEARCH = Search(frozenset({1, 4}), frozenset({8, 11}))
+SEARCH = Search(frozenset({3, 13}), frozenset({8, 11}))
 
 
 @operator()
@@ -262,11 +262,11 @@ def legacy_reroute(t: Net) -> DataFrame:
 
 
 @operator("""SELECT concat(a.segment_id, '|', b.segment_id) AS signature, concat('route-', substr(sha256(concat(a.segment_id, '|', b.segment_id)), 1, 20)) AS route_id
-FROM weighted_edges a JOIN weighted_edges b ON a.to_id = b.from_id WHERE a.from_id = 1 AND b.to_id = 8""")
+FROM weighted_edges a JOIN weighted_edges b ON a.to_id = b.from_id WHERE a.from_id = 3 AND b.to_id = 8""")
 def route_signature(t: Net) -> DataFrame:
     """Signature and stable id of the paths of two legs between two places."""
     one = t.gated.select("segment_id", "from_id", "to_id")
-    first, second = one.filter("from_id = 1").select(F.col("segment_id").alias("x"), "to_id"), one.filter("to_id = 8").select(F.col("segment_id").alias("y"), F.col("from_id").alias("to_id"))
+    first, second = one.filter("from_id = 3").select(F.col("segment_id").alias("x"), "to_id"), one.filter("to_id = 8").select(F.col("segment_id").alias("y"), F.col("from_id").alias("to_id"))
     return first.join(second, "to_id").select(F.concat_ws("|", "x", "y").alias("signature")).withColumn("route_id", route_id(F.col("signature")))
 
 
@@ -282,11 +282,11 @@ def component_sizes(t: Net) -> DataFrame:
 
 
 @operator("""WITH RECURSIVE e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM segments WHERE mode = 'sea' AND provider IS NULL),
-r AS (SELECT b AS node FROM e WHERE a = 1 AND b > 4 UNION SELECT e.b FROM r JOIN e ON r.node = e.a WHERE e.b > 4) SELECT DISTINCT node FROM r""")
+r AS (SELECT b AS node FROM e WHERE a = 3 AND b > 4 UNION SELECT e.b FROM r JOIN e ON r.node = e.a WHERE e.b > 4) SELECT DISTINCT node FROM r""")
 def blocked_closure(t: Net) -> DataFrame:
     """Candidates (locations over 4) that a protected location reaches through other candidates, by sea segments without a provider."""
     edges = t.segments.filter("mode = 'sea' and provider is null and to_id > 4").select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct()
-    return closure(edges, edges.filter("a = 1").select(F.col("b").alias("node")))
+    return closure(edges, edges.filter("a = 3").select(F.col("b").alias("node")))
 
 
 @operator("""SELECT r.route_id, string_agg(concat(r.segment_id, ':', a.name, '>', b.name), ';' ORDER BY r.sequence) AS legs, CAST(count(*) AS BIGINT) AS n

@@ -231,7 +231,7 @@ OBSERVED = (
     "CASE n % 6 WHEN 0 THEN 'observed' WHEN 1 THEN 'quoted' WHEN 2 THEN 'estimated' END AS obs_status", "cost * 10 AS obs_amount", "'USD' AS obs_currency", "n % 3 AS obs_quantity",
     "CASE WHEN n % 2 = 0 THEN 'vehicle' END AS obs_cargo", "expires_at AS obs_until", "CASE n % 4 WHEN 0 THEN 'observed' END AS days_status", "time_days AS days_p50", "time_days + 1 AS days_p90", "CASE WHEN n % 2 = 0 THEN time_days END AS known_days",
 )
-ASKED = Request(frozenset({1, 4}), frozenset({8, 11}), cargo=Cargo(2, shipment="roro", kg=3200.0), constraints=Constraints(avoided_zones=("Z7",), max_days=90.0))
+ASKED = Request(frozenset({3, 13}), frozenset({8, 11}), cargo=Cargo(2, shipment="roro", kg=3200.0), constraints=Constraints(avoided_zones=("Z7",), max_days=90.0))
 
 
 def asked(t: Net, request: Request = ASKED) -> dict[str, DataFrame | bool]:
