@@ -153,6 +153,13 @@ def test_latest_state_keeps_static_fields(spark):
     assert [tuple(r) for r in filters.latest_state(rows, "k", "t", "e", ["speed"], ["name"]).collect()] == [(1, 2, 7.0, "x")]
 
 
+def test_places_have_no_gaps_where_range_bounds_are_sampled(spark):
+    """So many rows that bounds come from a sample, which differs from run to run."""
+    rows = spark.range(0, 60000, 1, 8).select("id", (F.xxhash64("id") % 1000).alias("v"))
+    found = [(r.v, r.id, r.place) for r in aggregates.ranked(rows, ["v", "id"], "place").collect()]
+    assert [r[2] for r in sorted(found)] == list(range(1, 60001))
+
+
 def test_optional_conditions_and_plain_text(spark):
     rows = spark.createDataFrame([("a_b", 1), ("axb", 2)], "s string, n int")
     assert filters.optional(rows, s=None, n=2).count() == 1 and filters.optional(rows, s=None).count() == 2
