@@ -2,10 +2,13 @@
 
 import json
 import struct
+from pathlib import Path
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from tideway import catalog
 from tideway.functions import geo, scalars, text
 from tideway.operators import aggregates, filters, graph, joins, news
 from tideway.plans import audit, recommend
@@ -160,6 +163,12 @@ def test_places_have_no_gaps_where_range_bounds_are_sampled(spark):
     assert [r[2] for r in sorted(found)] == list(range(1, 60001))
 
 
+def test_value_ranks_are_those_of_the_sql_at_more_segments(spark, sf_dir):
+    """2399 segments, whose range bounds are sampled (the smallest tables have too few)."""
+    d = str(Path(sf_dir).parent / "sf0.01")
+    assert oracle.compare(spark, oracle.duck(d), d, catalog.queries()["hybrid_rank"], catalog.oracle_sql()["hybrid_rank"]) == ""
+
+
 def test_optional_conditions_and_plain_text(spark):
     rows = spark.createDataFrame([("a_b", 1), ("axb", 2)], "s string, n int")
     assert filters.optional(rows, s=None, n=2).count() == 1 and filters.optional(rows, s=None).count() == 2
