@@ -43,6 +43,14 @@ def test_components(spark):
     assert {r.node: r.component for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, 5: 5}
 
 
+def test_size_estimates_stay_small_over_the_rounds(spark):
+    """A chain of 40 in a random order takes many rounds, and each of them joins its labels with themselves."""
+    ends = sorted(range(1, 41), key=lambda k: k * 7919 % 1009)
+    found = graph.components(spark.createDataFrame(list(zip(ends, ends[1:], strict=False)), "a long, b long"))
+    assert {r.component for r in found.collect()} == {1}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**100
+
+
 def test_closure(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "a long, b long")
     assert {r.node for r in graph.closure(edges, spark.createDataFrame([(2,)], "node long")).collect()} == {1, 2, 3}
