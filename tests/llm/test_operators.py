@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideway.llm import components, decontaminate, jaccard_join, language_id, pieces, quality, sharding, substring_dedup, token_counts, token_store, warc
-from tideway.llm.common import fresh_dir, tokenizer_path
+from tideway.llm.common import fresh_dir, tokenizer_path, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -594,3 +595,19 @@ def test_revisits_need_their_response(spark):
     open(uri, "wb").write(b"".join(warc.gzipped(m) for m in kept))
     with pytest.raises(ValueError, match="no response of page 1"):
         warc.read_pages(manifest.withColumn("records", F.lit(len(kept)).cast("long")))
+
+
+def test_a_written_table_leaves_no_shuffle_behind(spark):
+    """Shuffle files of finished steps add up to the disk that a job needs."""
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    before = shuffles()
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):  # files are removed in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left and len(table.collect()) == 7

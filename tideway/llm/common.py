@@ -54,26 +54,32 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, and safe when executors are lost."""
+    """``df`` written to the shared folder and read back: computed once, and safe when executors are lost.
+
+    The shuffles of its computation are deleted with its end, not when the driver happens to collect garbage."""
     spark = df.sparkSession
     path = fresh_dir(spark, tag)
-    with small_batches(spark):
+    with small_batches(spark), setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within it, tables that are computed send Arrow batches of BATCH_BYTES, whatever the session's own limit is."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Within it, the session has this setting."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, str(BATCH_BYTES))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Within it, tables that are computed send Arrow batches of BATCH_BYTES, whatever the session's own limit is."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def runs(bodies: list[bytes], most: int = SPLIT_BYTES) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts that together have about ``most`` bytes."""
     at = 0

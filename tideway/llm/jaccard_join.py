@@ -16,6 +16,7 @@ link between different components is lost, and no pair of texts is ever a row un
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway.llm.common import joined_small, released, runs, small_batches, table, utf8, written
+from tideway.llm.common import dropped, joined_small, released, runs, small_batches, table, utf8, written
 from tideway.llm.components import components
 from tideway.llm.shingles import shingle_sets
 
@@ -36,6 +37,8 @@ COUNTED = 3_000_000
 #: Prefix shingles in one bucket of the meeting step, on average, and texts in one block of a comparison.
 BUCKET, MEMBERS = 400_000, 128
 BROADCAST_ROWS = 400_000
+#: The first tries are verified in so many rounds, dealt by meeting place: only one round's texts lie in a shuffle at a time.
+ROUNDS = 4
 #: Shingles in one block of texts, and columns of one matrix product.
 BLOCK_SHINGLES, COLUMNS = 400_000, 4096
 
@@ -225,6 +228,12 @@ def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return bodies.select(*key, "id", "body").groupBy(*key).cogroup(wanted).applyInArrow(lambda left, right: compare(left, right), "a long, b long")
 
 
+def verified_in_rounds(rows: DataFrame, pairs: DataFrame) -> list[DataFrame]:
+    """Written tables that together have the rows of :func:`verified`; each round reads all texts, but moves its own only."""
+    place = F.pmod(F.xxhash64("t"), F.lit(ROUNDS))
+    return [written(verified(rows, pairs.filter(place == k)), "links") for k in range(ROUNDS)]
+
+
 def whole_prefixes(signed: DataFrame, groups: DataFrame) -> DataFrame:
     """(shingle, group_key, n, pos) for all prefix shingles of these groups, also those that no other group has."""
 
@@ -307,9 +316,15 @@ def new_links(ids: list[int], of: list[int], sets: list[np.ndarray], on_left: np
     return found
 
 
+def open_spots(open_: DataFrame) -> DataFrame:
+    """``open_`` with most: by its place, a shingle can only be the first one in common with a set of up to this size, or
+    not at all."""
+    return open_.withColumn("most", F.expr("(9 * (n - pos)) div 4 - n"))
+
+
 def block_pairs(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rep, component, block) of open texts, and the pairs (x, y), x <= y, of blocks in which two texts of different
-    components may be alike.
+    components may be alike.  ``open_`` is a written table of :func:`open_spots`.
 
     Sets of s and l shingles, s <= l, need 4/9 (s + l) in common.  The first common one is followed by the others in
     both, so it must come early enough.  And of the text whose prefix ends earlier in the order, all common shingles
@@ -319,8 +334,6 @@ def block_pairs(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     home's texts are dealt by size to blocks of about MEMBERS texts and BLOCK_SHINGLES shingles.  A shingle then names
     the blocks that it lies in, not its texts: a group of m near copies costs (m / MEMBERS) ** 2 rows.
     """
-    # By its place, a shingle can only be the first one in common with a set of up to this size, or not at all.
-    open_ = written(open_.withColumn("most", F.expr("(9 * (n - pos)) div 4 - n")), "open")
     counts = open_.groupBy("shingle").agg(F.count("*").alias("c"))
     homes = open_.join(counts, "shingle").groupBy("rep").agg(F.max(F.struct("c", F.xxhash64("shingle").alias("h"))).alias("m"), F.max("n").alias("n"), F.first("component").alias("component"))
     homes = homes.select("rep", "n", "component", F.xxhash64("m.h", F.floor(16 * F.log("n"))).alias("h"))
@@ -403,13 +416,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     across = likely.join(leaders.select("group_key", F.col("leader").alias("a")), "group_key").join(by_group, "other").select("a", "b")
     inside = texts.join(leaders.filter("members > 1"), "group_key").filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
     tried = written(across.union(inside).distinct().withColumn("t", F.col("b")), "pairs")
-    links = written(verified(rows, tried), "links")
-
-    of = components(links)
-    placed = written(texts.join(of, texts.rep == of.node, "left").select("rep", "group_key", F.coalesce("component", "rep").alias("component")), "placed")
-
-    links = written(links_by_block(rows, *block_pairs(still_open(shared, known, placed))), "links")
-    placed = written(merged(placed, links), "placed")
+    links = verified_in_rounds(rows, tried)
+    dropped(tried)
+
+    of = components(reduce(DataFrame.union, links))
+    first = written(texts.join(of, texts.rep == of.node, "left").select("rep", "group_key", F.coalesce("component", "rep").alias("component")), "placed")
+    dropped(*links, of)
+
+    open_ = written(open_spots(still_open(shared, known, first)), "open")
+    dropped(shared)
+    blocks, pairs = block_pairs(open_)
+    pairs = written(pairs, "block-pairs")
+    dropped(open_)
+    links = written(links_by_block(rows, blocks, pairs), "links")
+    placed = written(merged(first, links), "placed")
+    dropped(first, blocks, pairs, links)
 
     by_text = texts.select("text_key", "rep").join(placed, "rep").select("text_key", "component")
     found = signed.join(by_text, "text_key", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component"))
