@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,24 @@ PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+")
 WORD_END = "</w>"
 
 
+class Known(dict):
+    """Packed ids by word or part.  A missing one is given an empty array at its first lookup, which ``fill`` fills in
+    place: so texts are looked up once, before what is new in them is encoded."""
+
+    def __init__(self) -> None:
+        self.new: dict[bytes | str, bytearray] = {}
+
+    def __missing__(self, key: bytes | str) -> bytearray:
+        self[key] = room = self.new[key] = bytearray()
+        return room
+
+    def fill(self, encoded: Callable[[list], Iterable[bytes]]) -> None:
+        for (key, room), ids in zip(self.new.items(), encoded([*self.new]), strict=True):
+            room.extend(ids)
+            self[key] = ids
+        self.new = {}
+
+
 class WordTable:
     """Distinct words to token ids, for a tokenizers file with the normaliser and pre-tokenizer described above.
 
@@ -41,7 +59,7 @@ class WordTable:
     def __init__(self, path: str):
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already fill the cores
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,8 +72,14 @@ class WordTable:
         self.plain = self.words and "Lowercase" in norm and spec["model"].get("end_of_word_suffix") == WORD_END
         self.wide = self.tokenizer.get_vocab_size(True) > 1 << 16
         self.type = np.uint32 if self.wide else np.uint16
-        self.ids: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.by_part = self.tokenizer
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        if self.plain and [x["type"] for x in steps] == ["Split", "ByteLevel"] and not any(PLAIN.fullmatch(t["content"]) for t in spec.get("added_tokens", [])):
+            # Parts are lower-cased and cut already and hold no added token, so they need the file's model and byte letters only.
+            self.by_part = Tokenizer(self.tokenizer.model)
+            letters = pre_tokenizers.ByteLevel(add_prefix_space=steps[1]["add_prefix_space"], use_regex=steps[1]["use_regex"])
+            self.by_part.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), letters])
+        self.ids, self.parts = Known(), Known()
 
     def encoded(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as packed integers, encoded in batches balanced by bytes."""
@@ -74,7 +98,7 @@ class WordTable:
         whose piece has the end mark, and a line is encoded at once."""
         for k in range(0, len(parts), 2000):
             line = parts[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(line), add_special_tokens=False).ids, dtype=self.type)
+            ids = np.array(self.by_part.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, dtype=self.type)
             ends = (np.flatnonzero(self.is_end[ids]) + 1) * ids.itemsize
             if len(ends) != len(line):
                 yield from self.encoded(line)
@@ -84,36 +108,29 @@ class WordTable:
                 yield data[at:end]
                 at = end
 
-    def learn(self, words: set[bytes], parts: set[str]) -> None:
-        """Make sure that every word and part is in the table."""
-        if len(self.ids) > TABLE_WORDS // 4:
-            self.ids = {w: self.ids[w] for w in words & self.ids.keys()}
-        if len(self.parts) > TABLE_WORDS:
-            self.parts = {p: self.parts[p] for p in parts & self.parts.keys()}
-        missing = list(words - self.ids.keys())
-        self.ids.update(zip(missing, self.encoded([w.decode() for w in missing]), strict=True))
-        new = list(parts - self.parts.keys())
-        self.parts.update(zip(new, self.encoded_parts(new), strict=True))
-
-    def runs(self, texts: list[bytes]) -> Iterator[Iterator[Iterator[bytes]]]:
+    def runs(self, texts: list[bytes]) -> Iterator[list[list[bytes]]]:
         """For runs of texts of about BATCH_BYTES * 16 bytes, each text's packed ids in pieces: by the parts of a plain
         text, by the words of another."""
         at = 0
         while at < len(texts):
-            size, end = 0, at
-            split: list[tuple[bool, list]] = []
-            while end < len(texts) and size < BATCH_BYTES * 16:
-                size += len(texts[end])
-                text = texts[end].decode() if self.plain else ""
+            # A table with unfilled arrays is left by a run that failed.
+            if len(self.ids) > TABLE_WORDS // 4 or self.ids.new:
+                self.ids = Known()
+            if len(self.parts) > TABLE_WORDS or self.parts.new:
+                self.parts = Known()
+            word, part = self.ids.__getitem__, self.parts.__getitem__
+            size, out = 0, []
+            while at < len(texts) and size < BATCH_BYTES * 16:
+                size += len(texts[at])
+                text = texts[at].decode() if self.plain else ""
                 if self.plain and PLAIN.fullmatch(text):
-                    split.append((True, PARTS.findall(text.lower())))
+                    out.append(list(map(part, PARTS.findall(text.lower()))))
                 else:
-                    split.append((False, texts[end].split()))
-                end += 1
-            self.learn(set().union(*(x for p, x in split if not p)), set().union(*(x for p, x in split if p)))
-            word, part = self.ids.__getitem__, self.parts.__getitem__
-            yield (map(part if plain else word, x) for plain, x in split)
-            at = end
+                    out.append(list(map(word, texts[at].split())))
+                at += 1
+            self.ids.fill(lambda words: self.encoded([w.decode() for w in words]))
+            self.parts.fill(self.encoded_parts)
+            yield out
 
     def packed(self, texts: list[bytes]) -> Iterator[bytes]:
         """Each text's ids as packed integers."""

@@ -41,6 +41,8 @@ MIN_IDS, MAX_IDS, MASK, SPAN = 64, 1024, np.uint64(255), 8
 #: Addresses that a writing task remembers to send a chunk once; past that it forgets (the pack's writer still keeps one).
 SEEN = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The hash of SPAN ids is a polynomial in this number; its powers 1, 2 and 4 join the hashes of two halves.
+POWERS = {k: np.uint64(pow(0x100000001B3, k, 1 << 64)) for k in (1, 2, 4)}
 
 
 def digest(data: bytes) -> bytes:
@@ -63,9 +65,9 @@ def cuts(ids: np.ndarray) -> list[int]:
         return [n] if n else []
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * MIX
     mixed ^= mixed >> np.uint64(29)
-    rolled = np.zeros(n - SPAN + 1, np.uint64)
-    for k in range(SPAN):
-        rolled = rolled * np.uint64(0x100000001B3) + mixed[k : n - SPAN + 1 + k]
+    rolled = mixed
+    for k, power in POWERS.items():
+        rolled = rolled[:-k] * power + rolled[k:]
     marks = np.flatnonzero(((rolled ^ (rolled >> np.uint64(31))) & MASK) == 0) + SPAN
     ends, at = [], 0
     for m in marks.tolist():
